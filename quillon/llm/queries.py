@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, quality, sharding, simhash
-from quillon.llm.oracles import ORACLE_SQL  # noqa: F401
+from quillon.llm import chat, decontam, pii, pst, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -25,6 +28,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    of_rank = lambda k: F.filter("spans", lambda s: s["rank"] == k)
+    counts = [F.size(of_rank(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    base = pii.shown(F.filter("spans", lambda s: s["rank"] < 4))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
+
+
 def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,8 +54,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
     "op2_decontamination": op2_decontamination,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_personal_data": op5_personal_data,
     "op8_minimax_sharding": op8_minimax_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
