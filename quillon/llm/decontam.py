@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let, lower_ascii, row_hash, words_of
+from quillon.llm.common import let, lower_ascii, row_hash
 
-#: Characters that part words: ASCII but for letters and digits.
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: Characters that part words: ASCII but for letters and digits (upper case is lowered word by word).
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Windows of the benchmark up to which they are broadcast (some 100 MB at most); beyond it both sides are dealt by the windows' hash.
 BROADCAST_WINDOWS = 500_000
 
 
+def _lowered(word: Column) -> Column:
+    """lower_ascii of a word, by the fast lower() where that does the same."""
+    fast = F.lower(word)
+    return F.when(fast == word, word).when(F.octet_length(word) == F.length(word), fast).otherwise(lower_ascii(word))
+
+
 def normal_words(text: Column) -> Column:
-    return words_of(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), NO_WORD)
+    given = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.octet_length(given) == F.length(given)
+    inner = lambda parts: F.when(F.size(parts) == 1, F.filter(parts, lambda w: w != "")).otherwise(F.slice(parts, F.when(parts[0] == "", 2).otherwise(1), F.size(parts) - (parts[0] == "").cast("int") - (F.element_at(parts, -1) == "").cast("int")))
+    cut = lambda t: let(F.split(t, f"{NO_WORD}+", -1), inner)
+    return F.when(ascii_only, cut(F.lower(given))).otherwise(F.transform(cut(given), _lowered))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
@@ -58,12 +69,16 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda a: a["n"])
 
 
+def _joined(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """keyed (doc_id, __key) with __spans and __items, null where nothing is hit; null doc_ids are matched too."""
+    own = hits.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
+    return keyed.join(own, (F.col("__key") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs with __spans and __items, null where nothing is hit; null doc_ids are matched too."""
-    hits = find_hits(docs, benchmark, n).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
+    """docs with __spans and __items."""
     keyed = docs.withColumn("__key", row_hash(F.col("text").cast("string")))
-    joined = keyed.join(hits, (F.col("__key") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select(*docs.columns, "__spans", "__items")
+    return _joined(keyed, find_hits(docs, benchmark, n)).select(*docs.columns, "__spans", "__items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -71,13 +86,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 
     Null and blank texts have no words; an item without words matches nothing; an empty benchmark hits nothing; repeated rows get equal results.
     """
-    counted = docs.select("doc_id", "text")
-    joined = with_hits(counted, benchmark, n)
+    text = F.col("text").cast("string")
+    n_words = F.coalesce(F.regexp_count(text, F.lit(f"{WORD}++")), F.lit(0)).cast("long")
+    counted = docs.select("doc_id", row_hash(text).alias("__key"), n_words.alias("n_words"))
+    joined = _joined(counted, find_hits(docs, benchmark, n))
     n_hit = F.coalesce(covered(F.col("__spans")), F.lit(0)).cast("long")
     items = F.coalesce("__items", F.array().cast("array<string>"))
-    text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    n_words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"))
-    return joined.select("doc_id", n_words.cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
@@ -88,7 +103,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     joined = with_hits(docs, benchmark, n)
     if remove == "documents":
         return joined.where(F.col("__spans").isNull()).select(*docs.columns)
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    word = f"{WORD}+"
     text = F.col("text").cast("string")
 
     def cut(words: Column, gaps: Column) -> Column:

@@ -42,6 +42,11 @@ def bits_of(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def differing(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Bits in which fingerprints differ; the sign bit counts like any other."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
+
+
 def part_values(fps: np.ndarray, part: list[int]) -> np.ndarray:
     """The part's bits as a number."""
     out = np.zeros(len(fps), np.int64)
@@ -161,7 +166,7 @@ def _bucket_forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = differing(rest, at) <= distance
             if near.any():
                 found = rest[near]
                 out += [(int(x), int(at)) for x in found]
@@ -181,7 +186,7 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[in
         a = np.flatnonzero((run_of[:-d] == run_of[d:]) & small[run_of[d:]])
         if not len(a):
             break
-        near = np.bitwise_count(fps[a] ^ fps[a + d]) <= distance
+        near = differing(fps[a], fps[a + d]) <= distance
         linked[run_of[a[near]]] = True
     for r in np.flatnonzero((linked | ~small) & (sizes > 1)):
         edges += _bucket_forest(fps[starts[r] : starts[r] + sizes[r]], distance)
