@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, pii, pst, quality, sharding, simhash
+from quillon.llm import chat, decontam, lines, packing, pii, pst, quality, rollups, sharding, simhash
+from quillon.llm.common import materialize, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -36,6 +42,24 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted (a batch sent twice), toxic ones deleted, and those not in English recounted with the other vocabulary."""
+    counts = materialize(rollups.token_counts(_table(spark, sf_dir, "documents")), "token-counts")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    gone = counts.join(toxic, "doc_id", "left_semi")
+    recounted = counts.join(toxic, "doc_id", "left_anti").where("lang <> 'en'")
+    store, main, other = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}", "byte_bpe_50k", "byte_bpe_multi_50k"
+    load = rollups.changes(counts, "insert", "main", main).unionByName(rollups.changes(counts, "insert", other, other))
+    drop = rollups.changes(gone, "delete", "main", main).unionByName(rollups.changes(gone, "delete", other, other))
+    for batch_id, batch in (("1-load", load), ("2-drop", drop), ("1-load", load), ("3-revise", rollups.changes(recounted, "revise", "main", other, main))):
+        rollups.commit(store, batch_id, batch)
+    return rollups.totals(spark, store)
+
+
 def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,8 +80,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
     "op2_decontamination": op2_decontamination,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_personal_data": op5_personal_data,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_token_rollups": op7_token_rollups,
     "op8_minimax_sharding": op8_minimax_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
