@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ TOKENIZERS = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-_CACHE_PIECES = 500_000
+_CACHE_PIECES = 200_000
 
 
 class PieceCounts(dict):
@@ -39,6 +40,12 @@ class PieceCounts(dict):
         return out
 
 
+@functools.cache
+def piece_counts(path: str) -> PieceCounts:
+    """One table a worker process, whatever number of tasks it runs."""
+    return PieceCounts(path)
+
+
 def token_counts(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
     """doc_id, source, lang and a count by each tokenizer, for every row of docs (doc_id, text, source, lang); null text has none."""
     named = tokenizers or TOKENIZERS
@@ -47,7 +54,7 @@ def token_counts(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut, counts = regex.compile(PATTERN).findall, [PieceCounts(p) for p in named.values()]
+        cut, counts = regex.compile(PATTERN).findall, [piece_counts(p) for p in named.values()]
         for batch in batches:
             out: list[list[int]] = [[] for _ in counts]
             for text in texts_of(batch):
