@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let, lower_ascii, materialize, row_hash
+from quillon.llm.common import let, materialize, row_hash
 
 #: Kinds in the order in which spans of one start stand; "term" marks what the method adds.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -21,7 +21,7 @@ REACH, LEAST_TERM = 120, 4
 #: Windows of different text in which a term must be seen with an entity, and the share of the entity's information that it may disclose.
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Words of a term, white space apart.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Terms up to which they are broadcast.
 BROADCAST_TERMS = 200_000
 
@@ -96,9 +96,31 @@ def _entity(rank: Column, value: Column) -> Column:
     return F.concat(rank.cast("string"), F.lit(":"), F.when(rank == 0, F.lower(value)).when(rank == 1, value).otherwise(_digits(value)))
 
 
+def _words(text: Column) -> Column:
+    """The words of a text in lower case; the first and last may be empty."""
+    return F.split(F.lower(text), f"{NO_WORD}+", -1)
+
+
 def _terms(text: Column) -> Column:
-    words = F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) >= LEAST_TERM) & ~w.rlike("[0-9]"))
+    return F.filter(_words(text), lambda w: (F.length(w) >= LEAST_TERM) & ~w.rlike("[0-9]"))
+
+
+def _word_spans(text: Column, wanted: Column) -> Column:
+    """Spans of the words whose numbers (from 0, sorted) are wanted: one walk that keeps only those."""
+
+    def walk(words: Column, gaps: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("k"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("out"))
+
+        def step(a: Column, i: Column) -> Column:
+            begin = a["at"] + F.length(F.element_at(gaps, i))
+            end = begin + F.length(F.element_at(words, i))
+            hit = F.coalesce(F.try_element_at(wanted, a["k"]) == i - 1, F.lit(False))
+            span = F.struct(begin.alias("start"), F.lit(4).alias("rank"), end.alias("end"))
+            return F.struct(end.alias("at"), (a["k"] + hit.cast("int")).alias("k"), F.when(hit, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda a: a["out"])
+
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: let(F.split(text, WORD, -1), lambda g: walk(w, g)))
 
 
 def disclosing_terms(found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -122,7 +144,7 @@ def disclosing_terms(found: DataFrame, support: int = SUPPORT, disclosure: float
     own = windows.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     wanted = pairs.select("term").distinct()
     wanted = F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted
-    often = found.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    often = found.select(F.explode_outer(_words(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("often"))
     total = found.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     w = F.lit(max(2.0, total / (2 * REACH)))
     information = F.log(w / F.least(F.col("n"), w / 2))
@@ -144,11 +166,11 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     if not n_terms:
         return found.select("doc_id", "text", F.sort_array(place(_all_spans(F.col("spans")))).alias("spans"))
     wanted = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    words = found.select("doc_id", row_hash(F.col("text")).alias("row"), F.posexplode_outer(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0))).alias("at", "term"))
-    hits = words.join(wanted, "term").groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_set("at")).alias("__at"))
+    words = found.select("doc_id", row_hash(F.col("text")).alias("row"), F.posexplode_outer(_words(F.col("text"))).alias("at", "term"), F.rlike(F.substring("text", 1, 1), F.lit(NO_WORD)).cast("int").alias("shift"))
+    at = F.array_sort(F.collect_set(F.col("at") - F.col("shift"))).alias("__at")  # a text that begins with no word has an empty first one
+    hits = words.join(wanted, "term").groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(at)
     joined = found.join(hits, (row_hash(F.col("text")) == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    added = let(_placed(F.col("text"), WORD), lambda all_words: F.transform("__at", lambda i: F.element_at(all_words, i + 1)))
-    ranked = F.transform(added, lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("rank"), s["end"].alias("end")))
+    ranked = _word_spans(F.col("text"), F.col("__at"))
     base = place(_all_spans(F.col("spans")))
     return joined.select("doc_id", "text", F.sort_array(F.when(F.col("__at").isNull(), base).otherwise(F.concat(base, ranked))).alias("spans"))
 
