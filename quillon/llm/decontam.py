@@ -36,26 +36,36 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return windows.groupBy("window").agg(F.collect_set("item").alias("items")).select(F.xxhash64("window").alias("key"), "window", "items")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, row, spans, items) of the documents that hold a window: spans as sorted (first word, words), the items as sorted strings.
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, counts: bool = False) -> DataFrame:
+    """(doc_id, row, spans, items, n_words) of the documents that hold a window, with counts of all documents: spans as sorted (first word,
+    words), the items as sorted strings.
 
     row is row_hash of the text: rows alike in doc_id and text share a result. Bounded by one text's length a group, whatever the benchmark.
     """
     windows = benchmark_windows(benchmark, n)
     facts = windows.agg(F.count(F.lit(1)), F.collect_set(F.size("window"))).first()  # sizes: n distinct ones at most
-    lengths = sorted(facts[1]) or [n]
+    lengths = sorted(facts[1], reverse=True) or [n]
     probe = F.broadcast(windows) if facts[0] <= BROADCAST_WINDOWS else windows
     words = docs.select("doc_id", row_hash(F.col("text").cast("string")).alias("row"), normal_words(F.col("text")).alias("words"))
     at = words.select("doc_id", "row", "words", F.posexplode_outer("words").alias("at", "word"))
-    found = None
-    for length in lengths:
-        seen = F.slice("words", F.col("at") + 1, length)
-        keyed = at.where(F.col("at") + length <= F.size("words")).select("doc_id", "row", F.col("at"), seen.alias("seen"), F.xxhash64(seen).alias("key"))
-        hits = keyed.join(probe.where(F.size("window") == length), "key").where(F.col("seen") == F.col("window"))
-        hits = hits.select("doc_id", "row", F.struct(F.col("at").alias("at"), F.lit(length).alias("len")).alias("span"), "items")
-        found = hits if found is None else found.unionByName(hits)
-    spans = F.sort_array(F.collect_set("span")).alias("spans")
-    return found.groupBy("doc_id", "row").agg(spans, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    if len(lengths) > 1:  # short items have windows of their own lengths
+        at = at.select("doc_id", "row", "words", "at", F.explode(F.array(*map(F.lit, lengths))).alias("len"))
+    else:
+        at = at.select("doc_id", "row", "words", "at", F.lit(lengths[0]).alias("len"))
+    seen = F.slice("words", F.col("at") + 1, F.col("len"))
+    inside = F.col("at") + F.col("len") <= F.size("words")
+    head = (F.coalesce("at", F.lit(0)) == 0) & (F.col("len") == lengths[0])  # one row a document, which carries its count
+    keyed = at.where(inside | head if counts else inside).select("doc_id", "row", "at", "len", F.size("words").alias("n_words"), head.alias("head"), seen.alias("seen"), F.xxhash64(seen).alias("key"))
+    hits = keyed.join(probe, "key", "left" if counts else "inner")
+    hit = F.coalesce(F.col("seen") == F.col("window"), F.lit(False)) & inside_of("at", "len", "n_words")
+    hits = hits.where(hit | F.col("head") if counts else hit)
+    span = F.when(hit, F.struct(F.col("at").alias("at"), F.col("len").alias("len")))
+    flat = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items"))))))
+    return hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(span)).alias("spans"), flat.alias("items"), F.max("n_words").alias("n_words"), F.sum(F.col("head").cast("int")).alias("heads"))
+
+
+def inside_of(at: str, length: str, n_words: str) -> Column:
+    return F.coalesce(F.col(at) + F.col(length) <= F.col(n_words), F.lit(False))
 
 
 def covered(spans: Column) -> Column:
@@ -86,13 +96,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 
     Null and blank texts have no words; an item without words matches nothing; an empty benchmark hits nothing; repeated rows get equal results.
     """
-    text = F.col("text").cast("string")
-    n_words = F.coalesce(F.regexp_count(text, F.lit(f"{WORD}++")), F.lit(0)).cast("long")
-    counted = docs.select("doc_id", row_hash(text).alias("__key"), n_words.alias("n_words"))
-    joined = _joined(counted, find_hits(docs, benchmark, n))
-    n_hit = F.coalesce(covered(F.col("__spans")), F.lit(0)).cast("long")
-    items = F.coalesce("__items", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    found = find_hits(docs.select("doc_id", "text"), benchmark, n, counts=True)
+    n_hit = covered(F.col("spans")).cast("long")
+    one = F.explode(F.array_repeat(F.lit(1), F.greatest(F.col("heads"), F.lit(1)).cast("int")))  # repeated rows met in one group: a row each again
+    out = found.select("doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (n_hit > 0).alias("contaminated"), one.alias("__one"))
+    return out.drop("__one")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
