@@ -7,21 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, quality
+from quillon.llm import decontam, lines, neardup, packing, quality
 from quillon.llm.common import materialize
 
+#: Share of its words, in per cent, that a document must keep in line dedup: with less left its lines all stand in other documents.
+LEAST_LEFT = 20
 
-def _with_text(docs: DataFrame, text: str) -> DataFrame:
-    """docs' columns with another text, and n_chars, where there is one, to match."""
-    changed = {"text": F.col(text), "n_chars": F.length(F.col(text)).cast("long")}
-    return docs.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns if c != text))
+
+def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """changed with the columns of docs, n_chars counted anew where there is one."""
+    return changed.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
     table = quality.quality_table(docs, tuple(c for c in docs.columns if c != "text"))
-    kept = table.where("kept").withColumnRenamed("clean_text", "text")
-    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return _like(docs, table.where("kept").withColumnRenamed("clean_text", "text"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand elsewhere; those of which hardly a word is left go."""
+    table = lines.dedup_lines(docs.withColumn("__words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))), keep=(*(c for c in docs.columns if c != "text"), "__words"))
+    left = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))
+    return _like(docs, table.where((F.size("removed") == 0) | (100 * left >= LEAST_LEFT * F.col("__words"))))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +42,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document's pieces in bins of training sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
 ]
 
-#: Fingerprints and packing are beyond SQL.
+#: Fingerprints and best fit are beyond SQL.
 ORACLE_SQL = None
 
 
