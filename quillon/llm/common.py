@@ -48,3 +48,8 @@ def words_of(text: Column, separator: str = SPACE) -> Column:
 def row_hash(text: Column) -> Column:
     """With the document's id, the key under which results come back to a row; rows alike in both get the same results."""
     return F.xxhash64(F.coalesce(text, F.lit("\x00null")))
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed once: no filter is pushed below the generator that makes them, and nothing above inlines them."""
+    return df.select(*(c for c in df.columns if c not in names), F.inline_outer(F.array(F.struct(*names))))

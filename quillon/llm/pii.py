@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let, materialize, row_hash
+from quillon.llm.common import let, materialize, row_hash, settled
 
 #: Kinds in the order in which spans of one start stand; "term" marks what the method adds.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -159,7 +159,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     empty table have no spans; repeated rows get equal ones.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).withColumn("spans", base_spans(F.col("text")))
+    found = settled(docs.select("doc_id", text.alias("text")).withColumn("spans", base_spans(F.col("text"))), "spans")
     terms = materialize(disclosing_terms(found, support, disclosure), "terms")
     place = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     n_terms = terms.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, let, words_of
+from quillon.llm.common import SPACE, let, settled, words_of
 
 #: Words of a document below which it is rejected, and the share of repeated words (in per cent) beyond which it is.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -78,4 +78,5 @@ def quality_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     lost = F.when(F.length("clean_text") == F.length("__text"), F.lit(0)).otherwise(F.col("word_chars") - size(F.col("clean_text")))
     judged = counted.withColumn("base_failed", failed).withColumn("lost_chars", lost.cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("word_chars"))
-    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_chars", "clean_text")
+    named = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", "clean_text"]
+    return settled(judged.withColumn("kept", kept).select(*keep, *named), *named)
