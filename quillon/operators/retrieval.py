@@ -13,13 +13,18 @@ from quillon.functions import hashing, text, vectors
 RRF_K, DENSE_WEIGHT, TEXT_WEIGHT = 60, 0.7, 0.3
 
 
+def _best(score: str) -> Column:
+    """Descending by a score to nine places: what differs in the last bits of a sum is a tie, which ids break."""
+    return F.desc(F.round(score, 9))
+
+
 def dense_topk(points: DataFrame, query: list[float], k: int = 10, threshold: float | None = None, inclusive: bool = True, where: Column | None = None, name: str = "score") -> DataFrame:
     """The k points (id, vector, ...) of largest cosine to query; ties by id. Filters come before the vectors are read."""
     kept = points if where is None else points.where(where)
     scored = kept.withColumn(name, vectors.cosine(F.col("vector"), F.lit([float(x) for x in query])))
     if threshold is not None:
         scored = scored.where(F.col(name) >= threshold if inclusive else F.col(name) > threshold)
-    return scored.orderBy(F.desc(name), "id").limit(k)
+    return scored.orderBy(_best(name), "id").limit(k)
 
 
 def dense_join(points: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -30,7 +35,7 @@ def dense_join(points: DataFrame, queries: list[tuple[int, list[float]]], k: int
     asked = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit([float(x) for x in v]).alias("v")) for q, v in queries))
     scores = F.transform(asked, lambda q: F.struct(q["query_id"].alias("query_id"), vectors.cosine(F.col("vector"), q["v"]).alias("score")))
     flat = points.select("id", F.explode(scores).alias("s")).select("id", "s.query_id", "s.score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query_id").orderBy(_best("score"), "id")
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -52,12 +57,12 @@ def sparse_vectors(docs: DataFrame, dimension: int = hashing.SPARSE_DIMENSION) -
 def sparse_topk(stored: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
     """The k ids of largest inner product; ids without a common bucket are absent. query: (bucket, weight) of one text, which is small."""
     asked = F.broadcast(query.select("bucket", F.col("weight").alias("q")))
-    return stored.join(asked, "bucket").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return stored.join(asked, "bucket").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(_best("score"), "id").limit(k)
 
 
 def ranked(results: DataFrame, name: str) -> DataFrame:
     """Rank a top-k list; it is short, so one window over all of it is fine."""
-    return results.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias(name))
+    return results.select("id", F.row_number().over(Window.orderBy(_best("score"), "id")).alias(name))
 
 
 def rrf(lists: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
@@ -70,7 +75,7 @@ def rrf(lists: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     for name in lists:
         score = score + F.coalesce(1.0 / (k + F.col(f"{name}_rank")), F.lit(0.0))
     fused = out.withColumn("rrf_score", score)
-    return fused.withColumn("rrf_rank", F.row_number().over(Window.orderBy(F.desc("rrf_score"), "id")))
+    return fused.withColumn("rrf_rank", F.row_number().over(Window.orderBy(_best("rrf_score"), "id")))
 
 
 def weighted_hybrid(dense: DataFrame, full_text: DataFrame, dense_weight: float = DENSE_WEIGHT, text_weight: float = TEXT_WEIGHT, k: int = 10) -> DataFrame:

@@ -50,18 +50,18 @@ DENSE_SQL = f"SELECT e.vec_id AS id, e.label, {COSINE} AS s FROM embeddings e, (
 # ---- retrieval
 
 
-@query(f"SELECT id, round(s, 6) AS score FROM ({DENSE_SQL}) ORDER BY s DESC, id LIMIT 10")
+@query(f"SELECT id, round(s, 6) AS score FROM ({DENSE_SQL}) ORDER BY round(s, 9) DESC, id LIMIT 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(points(spark, sf_dir), vector_of(spark, sf_dir, 0), 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT id, label, round(s, 6) AS score FROM ({DENSE_SQL}) WHERE label = 3 AND s > 0.05 ORDER BY s DESC, id LIMIT 20")
+@query(f"SELECT id, label, round(s, 6) AS score FROM ({DENSE_SQL}) WHERE label = 3 AND s > 0.05 ORDER BY round(s, 9) DESC, id LIMIT 20")
 def dense_topk_threshold_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieval.dense_topk(points(spark, sf_dir), vector_of(spark, sf_dir, 0), 20, 0.05, False, F.col("label") == 3)
     return out.select("id", "label", F.round("score", 6).alias("score"))
 
 
-@query(f"""SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank
+@query(f"""SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 9) DESC, e.vec_id) AS rank
 FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (0, 1, 2, 3)) q) WHERE rank <= 5""")
 def dense_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = [(i, vector_of(spark, sf_dir, i)) for i in range(4)]
@@ -85,7 +85,7 @@ def sparse_keyword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sparse_vectors(corpus(spark, sf_dir)).select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-SPARSE_TOP = "top AS (SELECT s.id, sum(s.weight * q.weight) AS score FROM sparse s JOIN (SELECT bucket, weight FROM sparse WHERE id = 1) q USING (bucket) GROUP BY s.id ORDER BY score DESC, id LIMIT 20)"
+SPARSE_TOP = "top AS (SELECT s.id, sum(s.weight * q.weight) AS score FROM sparse s JOIN (SELECT bucket, weight FROM sparse WHERE id = 1) q USING (bucket) GROUP BY s.id ORDER BY round(score, 9) DESC, id LIMIT 20)"
 
 
 @query(f"{SPARSE_SQL}, {SPARSE_TOP} SELECT id, round(score, 6) AS score FROM top")
@@ -102,10 +102,10 @@ def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return dense, retrieval.sparse_topk(stored, asked, 20)
 
 
-FUSED_SQL = f"""{SPARSE_SQL}, {SPARSE_TOP}, d AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS dense_rank FROM ({DENSE_SQL}) QUALIFY dense_rank <= 20),
-s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS sparse_rank FROM top),
+FUSED_SQL = f"""{SPARSE_SQL}, {SPARSE_TOP}, d AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS dense_rank FROM ({DENSE_SQL}) QUALIFY dense_rank <= 20),
+s AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS sparse_rank FROM top),
 f AS (SELECT id, dense_rank, sparse_rank, coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + sparse_rank), 0.0) AS rrf FROM d FULL JOIN s USING (id)),
-r AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, id) AS rrf_rank FROM f)"""
+r AS (SELECT *, row_number() OVER (ORDER BY round(CAST(rrf AS DOUBLE), 9) DESC, id) AS rrf_rank FROM f)"""
 
 
 @query(f"{FUSED_SQL} SELECT id, dense_rank, sparse_rank, round(CAST(rrf AS DOUBLE), 9) AS rrf_score, rrf_rank FROM r WHERE rrf_rank <= 10")
@@ -130,7 +130,7 @@ def fulltext_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.full_text(corpus(spark, sf_dir), ["the", "and"], 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {TEXT_SQL}, d AS (SELECT id, s FROM ({DENSE_SQL}) ORDER BY s DESC, id LIMIT 20) SELECT id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(score, 0), 6) AS score FROM d FULL JOIN ft USING (id) ORDER BY 0.7 * coalesce(s, 0) + 0.3 * coalesce(score, 0) DESC, id LIMIT 10")
+@query(f"WITH {TEXT_SQL}, d AS (SELECT id, s FROM ({DENSE_SQL}) ORDER BY round(s, 9) DESC, id LIMIT 20) SELECT id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(score, 0), 6) AS score FROM d FULL JOIN ft USING (id) ORDER BY 0.7 * coalesce(s, 0) + 0.3 * coalesce(score, 0) DESC, id LIMIT 10")
 def weighted_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = retrieval.dense_topk(points(spark, sf_dir), vector_of(spark, sf_dir, 0), 20)
     return retrieval.weighted_hybrid(dense, retrieval.full_text(corpus(spark, sf_dir), ["the", "and"], 20)).select("id", F.round("score", 6).alias("score"))
