@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, text, vectors
-from quillon.operators import boundaries, chunking, dedup, graph, ranges, records, retrieval, stats, timeline
+from quillon.functions import legal as law
+from quillon.operators import boundaries, chunking, dedup, evidence, graph, ranges, records, retrieval, stats, timeline
 from quillon.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,3 +584,134 @@ def ttl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = progress.windowed_counts(progress.with_time(table(spark, sf_dir, "events")))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- evidence and citations
+
+CITED = "concat('Smith Dep. ', CAST(o_orderkey % 200 AS VARCHAR), ':', CAST(o_custkey % 25 AS VARCHAR), CASE WHEN o_orderkey % 2 = 0 THEN '-26' ELSE '' END, '; Exhibit ', CAST(o_orderkey % 40 AS VARCHAR), '; see 49 C.F.R. § ', CAST(o_orderkey % 7 AS VARCHAR), '.', CAST(o_custkey % 9 AS VARCHAR), ' and Doe v. Roe, ', CAST(o_orderkey % 30 AS VARCHAR))"
+CITED_SQL = f"t AS (SELECT o_orderkey AS id, {CITED} AS content FROM orders)"
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda e: F.expr(e).cast("string")
+    content = F.concat(F.lit("Smith Dep. "), n("o_orderkey % 200"), F.lit(":"), n("o_custkey % 25"), F.when(F.col("o_orderkey") % 2 == 0, "-26").otherwise(""), F.lit("; Exhibit "), n("o_orderkey % 40"), F.lit("; see 49 C.F.R. § "), n("o_orderkey % 7"), F.lit("."), n("o_custkey % 9"), F.lit(" and Doe v. Roe, "), n("o_orderkey % 30"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), content.alias("content"))
+
+
+@query("SELECT 'EX_' || CAST(o_orderkey % 40 AS VARCHAR) AS exhibit_id, count(DISTINCT o_orderkey) AS documents, count(*) AS mentions, min(o_orderkey) AS first_document FROM orders GROUP BY 1")
+def exhibits_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.exhibit_index(cited(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS id, 0 AS n, 'Smith' AS deponent, CAST(o_orderkey % 200 AS INTEGER) AS page, CAST(o_custkey % 25 AS INTEGER) AS line, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 26 ELSE o_custkey % 25 END AS INTEGER) AS line_end, 'Smith Dep. ' || (o_orderkey % 200) || ':' || (o_custkey % 25) || CASE WHEN o_orderkey % 2 = 0 THEN '-26' ELSE '' END AS citation FROM orders")
+def testimony_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.testimony(cited(spark, sf_dir))
+
+
+@query(rf"WITH {CITED_SQL}, c AS (SELECT DISTINCT id, unnest(list_concat(regexp_extract_all(content, '\d+\s+C\.F\.R\.\s+§*\s*\d+\.\d+'), regexp_extract_all(content, '[A-Z][a-zA-Z]+\s+v\.\s+[A-Z][a-zA-Z]+(?:,\s+\d+)?'))) AS citation FROM t) SELECT citation, count(*) AS sections, min(id) AS first_section FROM c GROUP BY citation")
+def citation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.citation_index(cited(spark, sf_dir).withColumnRenamed("id", "section_id"))
+
+
+@query("SELECT l_orderkey % 100 AS section_id, l_orderkey * 10 + l_linenumber AS evidence_id, max(l_discount) AS score FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY max(l_discount) DESC, l_orderkey * 10 + l_linenumber) <= 5")
+def evidence_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("section_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id")).agg(F.max("l_discount").alias("score"))
+    return evidence.best_for_sections(scored, 5, 0.05).drop("nth")
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 4))) AS word FROM part), q AS (SELECT * FROM w WHERE id <= 20), f AS (SELECT * FROM w WHERE id <= 400)
+SELECT q.id AS point_id, f.id AS fact_id, count(*) AS shared FROM q JOIN f USING (word) GROUP BY q.id, f.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY count(*) DESC, f.id) <= 5""")
+def shared_word_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("content"))
+    asked = part.where("p_partkey <= 20").select(F.col("p_partkey").alias("point_id"), "content")
+    return evidence.shared_words(asked, part.where("p_partkey <= 400").select(F.col("p_partkey").alias("fact_id"), "content"))
+
+
+TITLES = ["Caption", "Procedural History", "Memorandum of Law", "Introduction", "Statement of Facts", "Standard of Review", "Conclusion", "Prayer for Relief", "First Argument"]
+TITLE_KINDS = ["preintroduction", "procedural_background", "memorandum_of_law", "introduction", "statement_of_facts", "legal_standard", "conclusion", "prayer_for_relief", "argument"]
+
+
+@query(f"SELECT l_orderkey AS motion_id, l_partkey AS ordinal, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before, {TITLE_KINDS}[l_partkey % 9 + 1] AS section_type FROM lineitem WHERE l_linenumber = 1 QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey) = 1 AND count(*) OVER (PARTITION BY l_orderkey) = 1")
+def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.element_at(F.array(*(F.lit(t) for t in TITLES)), (F.col("l_partkey") % 9 + 1).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    once = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("l_orderkey")
+    return evidence.running_context(lines.join(once, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("motion_id"), F.col("l_partkey").alias("ordinal"), F.col("l_quantity").cast("long").alias("tokens"), title.alias("title")))
+
+
+@query("SELECT conv_id AS doc_id, turn AS line, last_value(CASE WHEN role = 'user' THEN chr(CAST(65 + turn % 26 AS INTEGER)) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS subpart FROM conversations")
+def subparts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.when(F.col("role") == "user", F.concat(F.lit("Subpart "), F.char(F.lit(65) + F.col("turn") % 26))).otherwise(F.col("text"))
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line"), content.alias("content"))
+    return evidence.subpart_of(lines).select("doc_id", "line", "subpart")
+
+
+@query(rf"WITH {LEGAL_SQL}, c AS (SELECT id, len(list_distinct(regexp_extract_all(content, '{text.DATE}'))) AS dates, len(list_distinct(regexp_extract_all(content, '{text.MONEY}'))) AS money, len(list_distinct(regexp_extract_all(content, '{text.CITATION}'))) AS citations FROM t) SELECT id, CAST(dates AS INTEGER) AS dates, CAST(money AS INTEGER) AS money, CAST(citations AS INTEGER) AS citations, round(CAST(least(1.0, 0.8 + CASE WHEN dates > 0 THEN 0.1 ELSE 0 END + CASE WHEN money > 0 THEN 0.05 ELSE 0 END + CASE WHEN citations > 0 THEN 0.05 ELSE 0 END) AS DOUBLE), 6) AS confidence FROM c")
+def key_fact_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.key_facts(legal(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+QUESTIONS = ["cite Rule 12", "what happened before Jan 4", "damages award of $5,000", "definition of duty", "similar cases", "how to file", "tell me more"]
+
+
+@query(f"""WITH q AS (SELECT event_id, {QUESTIONS}[event_id % 7 + 1] AS x FROM events) SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'citation_search' WHEN 1 THEN 'date_search' WHEN 2 THEN 'monetary_search' WHEN 3 THEN 'definition_search' WHEN 4 THEN 'precedent_search' WHEN 5 THEN 'procedure_search' ELSE 'general' END AS query_type,
+CAST(CASE event_id % 7 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.7 END AS DOUBLE) AS vector, CASE WHEN contains(x, 'what happened') THEN 'case_database' ELSE 'both' END AS store FROM q""")
+def query_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.element_at(F.array(*(F.lit(x) for x in QUESTIONS)), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", asked.alias("x"))
+    return rows.select("event_id", law.query_strategy(F.col("x")).alias("s"), law.store_of(F.col("x")).alias("store")).select("event_id", "s.query_type", "s.vector", "store")
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())")
+def document_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").cube("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT s AS collection FROM (SELECT lang || '_' || unnest(['base', 'facts', 'timeline', 'depositions']) AS s FROM documents) WHERE s NOT IN (SELECT lang || '_base' FROM documents)")
+def case_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    names = langs.select(F.explode(F.array(*(F.concat_ws("_", "lang", F.lit(x)) for x in ("base", "facts", "timeline", "depositions")))).alias("collection"))
+    return names.join(langs.select(F.concat(F.col("lang"), F.lit("_base")).alias("collection")), "collection", "left_anti")
+
+
+@query("SELECT o_custkey AS case_name, string_agg(strftime(o_orderdate, '%Y-%m-%d') || ': ' || o_orderstatus, chr(10) ORDER BY o_orderdate, o_orderkey) AS rendering FROM orders GROUP BY 1")
+def timeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(": "), F.col("o_orderstatus"))
+    lines = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_name")).agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", line.alias("x")))).alias("l"))
+    return lines.select("case_name", F.array_join(F.transform("l", lambda e: e["x"]), "\n").alias("rendering"))
+
+
+@query("SELECT user_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY user_id")
+def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.from_json("props", "k long").alias("p"))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"))
+
+
+@query("SELECT * FROM (SELECT metric, value FROM (SELECT CAST(count(*) AS DOUBLE) AS documents, CAST(sum(n_chars) AS DOUBLE) AS characters, CAST(max(n_chars) AS DOUBLE) AS longest FROM documents) UNPIVOT (value FOR metric IN (documents, characters, longest)))")
+def summary_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).cast("double").alias("documents"), F.sum("n_chars").cast("double").alias("characters"), F.max("n_chars").cast("double").alias("longest"))
+    return wide.unpivot([], ["documents", "characters", "longest"], "metric", "value")
+
+
+@query("SELECT event_type, min(ts) IS NOT NULL AS seen, max_by(user_id, (value, event_id)) AS top_user, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
+def cache_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").isNotNull().alias("seen"), F.max_by("user_id", F.struct("value", "event_id")).alias("top_user"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT vec_id AS id, round(greatest(0.0, least(1.0, " + COSINE + ")), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE vec_id <> 7")
+def clamped_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.lit([float(x) for x in vector_of(spark, sf_dir, 7)])
+    return points(spark, sf_dir).where("id <> 7").select("id", F.round(vectors.clamped_cosine(F.col("vector"), v), 6).alias("similarity"))
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT label FROM embeddings WHERE label < 5 UNION ALL SELECT label FROM embeddings WHERE label >= 3) GROUP BY label")
+def union_of_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).select("label")
+    return p.where("label < 5").unionByName(p.where("label >= 3")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey AS case_id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def case_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    of = lambda c: orders.where(c).select(F.col("o_custkey").alias("case_id"))
+    return of("o_orderstatus = 'F'").intersect(of("o_orderstatus = 'O'")).exceptAll(of("o_orderpriority = '1-URGENT'").distinct())
