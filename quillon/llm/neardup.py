@@ -17,8 +17,8 @@ from quillon.llm.simhash import differing, fingerprint_table, linked_roots
 #: Words of a shingle and the share of shingles in common at which texts are near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of a SimHash feature and the differing bits up to which candidates are taken. At similarity 0.8 some 2 % of the words differ, which
-#: moves 6 bits of 64 on the mean; unrelated texts come within 9 bits about twice in 10^9 pairs.
-FEATURE, DISTANCE = 2, 9
+#: moves 6 bits of 64 on the mean; unrelated texts come within 10 bits about once in 10^8 pairs.
+FEATURE, DISTANCE = 2, 10
 #: Texts of a block; groups of candidates beyond it are compared block against block.
 BLOCK = 1_000
 
