@@ -89,3 +89,40 @@ def test_partition_sink_is_idempotent(spark, tmp_path, times):
     for _ in range(times):
         files.write_partitioned(rows, str(tmp_path / "t"), "day")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_embedding_and_search(spark):
+    import numpy as np
+
+    from quillon.functions import models
+
+    docs = spark.createDataFrame([(1, "the brakes failed on the truck"), (2, "weather was clear"), (3, None), (4, "truck brakes failed again")], "id long, content string")
+    embedded = {r.id: r.vector for r in models.embed(docs, "content", models.HashEmbedder(32)).collect()}
+    assert embedded[3] is None and np.isclose(np.linalg.norm(embedded[1]), 1)
+    found = [r.id for r in models.search(docs, "brakes failed", models.HashEmbedder(256), 2).orderBy("rrf_rank").collect()]
+    assert set(found) == {1, 4}
+    typed = {r.id: r.document_type for r in models.classify(docs, "content").collect()}
+    assert typed[1] == "other"
+
+
+def test_cache_state_over_a_stream(spark, sf, tmp_path):
+    from quillon.streaming import state
+
+    query = state.cache_log(progress.read_events(spark, sf), 6 * 3600 * 1000).writeStream.outputMode("update").format("memory").queryName("cache").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.user_id: (r.hits, r.misses) for r in spark.table("cache").collect()}
+    times = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        times.setdefault(r.user_id, []).append(r.ts.timestamp())
+    for user, ts in times.items():
+        ts.sort()
+        hits = sum(b - a <= 6 * 3600 for a, b in zip(ts, ts[1:], strict=False))
+        assert got[user] == (hits, len(ts) - hits)
+
+
+def test_partitions(spark):
+    from quillon.operators import partitions
+
+    ranges_ = partitions.monthly_ranges(spark, "2024-01-01", 3)
+    rows = spark.createDataFrame([(1, "2024-01-31"), (2, "2024-02-01"), (3, "2023-12-31")], "id int, d string").selectExpr("id", "cast(d as date) d")
+    assert {r.id: r.partition for r in partitions.assigned(rows, ranges_, "d").collect()} == {1: "p_2024_01", 2: "p_2024_02", 3: None}
