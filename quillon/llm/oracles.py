@@ -13,6 +13,22 @@ its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS k, w FROM d WHERE len(w) >= 4),
+g AS (SELECT doc_id, k, w[k:k + 2] AS x FROM win), twice AS (SELECT doc_id, x FROM g GROUP BY doc_id, x HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM g JOIN twice USING (doc_id, x)) GROUP BY doc_id),
+c AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(coalesce(list_sum(list_transform(list_filter(lines, lambda l: (len(regexp_extract_all(l, '\|')) >= 3 AND 25 * len(regexp_extract_all(l, '\|')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')))
+    OR 6 * len(regexp_extract_all(l, '[#*$%&<>]')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))
+    OR (len(regexp_extract_all(l, '!')) >= 3 AND 25 * len(regexp_extract_all(l, '!')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AND NOT regexp_matches(l, '\p{Ll}'))
+    OR (length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) < 200 AND regexp_matches(l, '(?i)\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum)\b'))),
+    lambda l: length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')))), 0) AS BIGINT) AS lost FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 30 * word_chars AS kept FROM f
 """,
     "op10_chat_formatting": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

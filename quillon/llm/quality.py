@@ -47,7 +47,7 @@ def line_passes(line: Column) -> Column:
     share = lambda pattern, per: per * F.regexp_count(line, F.lit(pattern)) > chars
     navigation = (F.regexp_count(line, F.lit(r"\|")) >= 3) & share(r"\|", 25)
     marked = share(r"[#*$%&<>]", 6)
-    shouting = (F.regexp_count(line, F.lit("!")) >= 3) & share("!", 25) & (F.upper(line) == line)
+    shouting = (F.regexp_count(line, F.lit("!")) >= 3) & share("!", 25) & ~line.rlike(r"\p{Ll}")
     furniture = line.rlike(BOILERPLATE) & (chars < 200)
     return (chars == 0) | ~(navigation | marked | shouting | furniture)
 
