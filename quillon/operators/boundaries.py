@@ -61,3 +61,45 @@ def cover(segments: DataFrame, totals: DataFrame) -> DataFrame:
     tail = known.where("next IS NULL AND end < pages - 1").select("doc_id", (F.col("end") + 1).cast("int").alias("start"), (F.col("pages") - 1).cast("int").alias("end"), F.lit("fragment").alias("kind"))
     own = known.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit("document").alias("kind"))
     return own.unionByName(gaps).unionByName(tail).unionByName(whole)
+
+
+def reconcile(found: DataFrame, near: float = 0.2) -> DataFrame:
+    """(doc_id, start, end, confidence, kind): boundaries in order; where two overlap they merge if they are alike in confidence and kind, else
+    the surer stays. A document's boundaries, which are few, are folded in its row."""
+    one = F.struct("start", "end", "confidence", "kind")
+    ordered = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("b"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        alike = (F.abs(last["confidence"] - x["confidence"]) < near) & F.coalesce(last["kind"] == x["kind"], F.lit(False))
+        merged = F.struct(F.least(last["start"], x["start"]).alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.greatest(last["confidence"], x["confidence"]).alias("confidence"), F.coalesce(last["kind"], x["kind"]).alias("kind"))
+        before = F.slice(done, 1, F.size(done) - 1)
+        better = F.when(alike, F.concat(before, F.array(merged))).when(x["confidence"] > last["confidence"], F.concat(before, F.array(x))).otherwise(done)
+        return F.when(F.size(done) == 0, F.array(x)).when(x["start"] <= last["end"], better).otherwise(F.concat(done, F.array(x)))
+
+    empty = F.slice("b", 1, 0)
+    return ordered.select("doc_id", F.explode(F.aggregate("b", empty, step)).alias("x")).select("doc_id", "x.*")
+
+
+def document_ends(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, is_start) with last_page, the page before the next start."""
+    later = Window.partitionBy("doc_id").orderBy("page").rowsBetween(1, Window.unboundedFollowing)
+    last = F.max("page").over(Window.partitionBy("doc_id"))
+    return pages.withColumn("last_page", F.coalesce(F.min(F.when(F.col("is_start"), F.col("page"))).over(later) - 1, last))
+
+
+def page_windows(totals: DataFrame, size: int = 5, overlap: int = 1) -> DataFrame:
+    """(doc_id, first, last): runs of size pages (last excluded) that share overlap pages with the next."""
+    starts = F.sequence(F.lit(0), F.greatest(F.col("pages") - 1 - overlap, F.lit(0)), F.lit(size - overlap))
+    return totals.where("pages > 0").select("doc_id", "pages", F.explode(starts).alias("first")).select("doc_id", "first", F.least(F.col("first") + size, F.col("pages")).alias("last"))
+
+
+def page_of_offset(offset: Column, page_ends: Column) -> Column:
+    """The page from 1 on which a character lies, given the ends of the pages; what lies beyond is on the last."""
+    return F.least(F.size(F.filter(page_ends, lambda e: e < offset)) + 1, F.size(page_ends))
+
+
+def page_text(pages: DataFrame, first: int, last: int) -> DataFrame:
+    """(doc_id, text): pages first to last (excluded) with marks that count from 1; a stated range bounds the row."""
+    marked = pages.where(F.col("page").between(first, last - 1)).select("doc_id", F.struct("page", F.concat(F.lit("[Page "), (F.col("page") + 1).cast("string"), F.lit("]\n"), F.col("text")).alias("t")).alias("p"))
+    return marked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n").alias("text"))

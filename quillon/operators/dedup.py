@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing
@@ -33,6 +33,7 @@ def cross_case(docs: DataFrame) -> DataFrame:
 
 
 def first_seen(docs: DataFrame) -> DataFrame:
-    """Every document with whether it is the first of its content."""
-    nth = F.row_number().over(Window.partitionBy(hashing.content_hash(F.col("content"))).orderBy("id"))
-    return docs.select("id", (nth == 1).alias("is_first"))
+    """Every document with whether it is the first of its content; a group's least id is found by a partial aggregation, whatever its size."""
+    hashed = docs.select("id", hashing.content_hash(F.col("content")).alias("content_hash"))
+    firsts = hashed.groupBy("content_hash").agg(F.min("id").alias("first_id"))
+    return hashed.join(firsts, "content_hash").select("id", (F.col("id") == F.col("first_id")).alias("is_first"))

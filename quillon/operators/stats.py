@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Dollars for 1,000 tokens; chat models have a rate in and one out.
@@ -27,9 +27,9 @@ def cost_report(usage: DataFrame, *keys: str) -> DataFrame:
     return usage.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round(F.sum(cost), 8).alias("cost"))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at half the count of the sorted values; of an even number the upper of the two in the middle."""
-    return F.percentile_disc(0.5, value)
+def upper_median(value: str) -> Column:
+    """The element at half the count of the sorted values; of an even number the upper of the two in the middle. Partial counts meet, not rows."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def performance(log: DataFrame, slow_ms: float = 1000.0) -> DataFrame:
@@ -37,13 +37,6 @@ def performance(log: DataFrame, slow_ms: float = 1000.0) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.max("ms").alias("most_ms"), F.min("ms").alias("least_ms"), F.round(100 * F.avg((F.col("ms") > slow_ms).cast("int")), 6).alias("slow_percent"), F.count_distinct("collection").alias("collections"))
 
 
-def median_by_rank(log: DataFrame, value: str, *keys: str) -> DataFrame:
-    """The upper median by keys, from ranks in each group."""
-    group = Window.partitionBy(*keys)
-    ranked = log.select(*keys, value, F.row_number().over(group.orderBy(value)).alias("nth"), F.count(F.lit(1)).over(group).alias("n"))
-    return ranked.where(F.col("nth") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
-
-
 def query_patterns(log: DataFrame, least: int = 5) -> DataFrame:
     """Signatures of at least so many queries, with mean time and priority."""
     found = log.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean")).where(F.col("n") >= least)

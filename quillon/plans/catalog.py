@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import hashing, text, vectors
+from quillon.functions import hashing, predicates, text, vectors
 from quillon.functions import legal as law
-from quillon.operators import boundaries, chunking, dedup, evidence, graph, ranges, records, retrieval, stats, timeline
+from quillon.operators import boundaries, chunking, dedup, evidence, graph, partitions, ranges, records, retrieval, stats, statutes, timeline
 from quillon.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,7 +510,7 @@ def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOG_SQL}, r AS (SELECT collection, ms, row_number() OVER (PARTITION BY collection ORDER BY ms) AS k, count(*) OVER (PARTITION BY collection) AS n FROM lg) SELECT collection, ms AS upper_median FROM r WHERE k = n // 2 + 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.median_by_rank(_log(spark, sf_dir), "ms", "collection")
+    return _log(spark, sf_dir).groupBy("collection").agg(stats.upper_median("ms").alias("upper_median"))
 
 
 @query("SELECT event_id, value * 20 AS ms FROM events WHERE value * 20 > 1000 ORDER BY value * 20 DESC, event_id LIMIT 50")
@@ -715,3 +715,50 @@ def case_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     of = lambda c: orders.where(c).select(F.col("o_custkey").alias("case_id"))
     return of("o_orderstatus = 'F'").intersect(of("o_orderstatus = 'O'")).exceptAll(of("o_orderpriority = '1-URGENT'").distinct())
+
+
+# ---- layout of pages, statutes, predicates
+
+
+@query("SELECT doc_id, first, least(first + 5, pages) AS last FROM (SELECT conv_id AS doc_id, pages, unnest(range(0, greatest(pages - 2, 0) + 1, 4)) AS first FROM (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1))")
+def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("pages"))
+    return boundaries.page_windows(totals)
+
+
+@query("SELECT conv_id AS doc_id, turn AS page, coalesce(min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(turn) OVER (PARTITION BY conv_id)) AS last_page FROM conversations")
+def document_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), (F.col("role") == "user").alias("is_start"))
+    return boundaries.document_ends(pages).select("doc_id", "page", "last_page")
+
+
+@query("SELECT conv_id AS doc_id, string_agg('[Page ' || (turn + 1) || ']' || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn < 2 GROUP BY 1")
+def page_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.page_text(_turn_pages(spark, sf_dir), 0, 2)
+
+
+@query("SELECT p_partkey AS number, list_sort(list_distinct([CAST(p_partkey % 90 AS VARCHAR) || '.' || (p_size % 9), CAST(p_size AS VARCHAR) || '.1'])) AS refs, CASE WHEN p_size % 2 = 0 THEN ['damages'] ELSE ['insurance', 'motor_vehicles'] END AS topics FROM part")
+def statute_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topic = F.when(F.col("p_size") % 2 == 0, "damages").otherwise("coverage of a driver")
+    content = F.concat(F.lit("See section "), F.expr("p_partkey % 90").cast("string"), F.lit("."), F.expr("p_size % 9").cast("string"), F.lit(" and s. "), F.col("p_size").cast("string"), F.lit(".1 on "), topic)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), statutes.references(content).alias("refs"), statutes.topics(content).alias("topics"))
+
+
+@query("SELECT s_suppkey AS id, s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 AS may_read, s_name NOT LIKE '%1%' AS valid FROM supplier")
+def access_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    collection = F.when(F.col("s_suppkey") % 3 == 0, "smith_facts").when(F.col("s_suppkey") % 5 == 0, " Federal_Rules ").otherwise("doe_facts")
+    value = F.when(F.contains("s_name", F.lit("1")), "x <script>").otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), predicates.may_read(collection, F.lit("smith")).alias("may_read"), predicates.valid_input(value).alias("valid"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' OR o_orderkey % 10 = 0")
+def production_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate").cast("timestamp"))
+    day = lambda x: F.lit(x).cast("timestamp")
+    return table(spark, sf_dir, "orders").where(predicates.in_period(date, day("1996-01-01"), day("1996-12-31"))).select(F.col("o_orderkey").alias("id"))
+
+
+@query("WITH g AS (SELECT user_id % 10 AS collection, event_type AS field, count(*) AS n, avg(value * 20) AS m FROM events GROUP BY 1, 2) SELECT collection, field, n, round(m, 6) AS mean_ms, CASE WHEN m > 2000 AND n > 20 THEN 1 WHEN m > 1000 AND n > 10 THEN 2 ELSE 3 END AS priority FROM g ORDER BY priority, round(n * m, 6) DESC, collection, field LIMIT 20")
+def index_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).withColumnRenamed("event_type", "field")
+    return partitions.index_advice(log, 20).select("collection", "field", "n", F.round("mean_ms", 6).alias("mean_ms"), "priority")

@@ -126,3 +126,27 @@ def test_partitions(spark):
     ranges_ = partitions.monthly_ranges(spark, "2024-01-01", 3)
     rows = spark.createDataFrame([(1, "2024-01-31"), (2, "2024-02-01"), (3, "2023-12-31")], "id int, d string").selectExpr("id", "cast(d as date) d")
     assert {r.id: r.partition for r in partitions.assigned(rows, ranges_, "d").collect()} == {1: "p_2024_01", 2: "p_2024_02", 3: None}
+
+
+def test_reconcile(spark):
+    rows = [(1, 0, 5, 0.8, "a"), (1, 4, 9, 0.7, "a"), (1, 9, 12, 0.9, "b"), (1, 20, 30, 0.6, None), (1, 25, 40, 0.65, None), (2, 1, 1, 0.5, "x")]
+    out = boundaries.reconcile(spark.createDataFrame(rows, "doc_id int, start int, end int, confidence double, kind string"))
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[:2])
+    assert got == [(1, 9, 12, 0.9, "b"), (1, 25, 40, 0.65, None), (2, 1, 1, 0.5, "x")]
+
+
+def test_pages_of_offsets(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, [10, 20]), (10, [10, 20]), (11, [10, 20]), (99, [10, 20])], "o int, e array<int>")
+    assert [r[0] for r in rows.select(boundaries.page_of_offset(F.col("o"), F.col("e"))).collect()] == [1, 1, 2, 2]
+
+
+def test_statute_sections(spark):
+    from quillon.operators import statutes
+
+    text = "CHAPTER 768\n768.81 Comparative fault.\nSee s. 768.72 on damages.\n768.72 Pleading.\nNothing.\n"
+    found = statutes.sections(spark.createDataFrame([(768, text)], "chapter int, content string"))
+    rows = {r.number: (r.title, r.content) for r in found.collect()}
+    assert rows == {"768.81": ("Comparative fault", "See s. 768.72 on damages."), "768.72": ("Pleading", "Nothing.")}
+    assert [tuple(r) for r in statutes.reference_graph(found).collect()] == [("768.81", "768.72")]
