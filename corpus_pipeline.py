@@ -14,22 +14,32 @@ from quillon.llm.common import materialize
 LEAST_LEFT = 20
 
 
-def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """changed with the columns of docs, n_chars counted anew where there is one."""
-    return changed.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs with all columns but doc_id and text under names that no operator uses, and those names."""
+    names = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in names.items())), tuple(names.values())
+
+
+def _restored(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """changed, whose columns were set aside, with the columns of docs; n_chars is counted anew where there is one."""
+    back = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return changed.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(back.get(c, c)).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that fail."""
-    table = quality.quality_table(docs, tuple(c for c in docs.columns if c != "text"))
-    return _like(docs, table.where("kept").withColumnRenamed("clean_text", "text"))
+    """Documents that the rules keep, without the lines that fail. Null and short texts go."""
+    plain, names = _set_aside(docs)
+    table = quality.quality_table(plain, ("doc_id", *names))
+    return _restored(docs, table.where("kept").withColumnRenamed("clean_text", "text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand elsewhere; those of which hardly a word is left go."""
-    table = lines.dedup_lines(docs.withColumn("__words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))), keep=(*(c for c in docs.columns if c != "text"), "__words"))
-    left = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))
-    return _like(docs, table.where((F.size("removed") == 0) | (100 * left >= LEAST_LEFT * F.col("__words"))))
+    """Documents without the lines that stand elsewhere; those of which hardly a word is left go. Texts without removed lines stay, null ones too."""
+    plain, names = _set_aside(docs)
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))
+    table = lines.dedup_lines(plain.withColumn("__words", words), keep=("doc_id", *names, "__words"))
+    left = table.where((F.size("removed") == 0) | (100 * words >= LEAST_LEFT * F.col("__words")))
+    return _restored(docs, left)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,24 @@ def test_pipeline_of_nothing(spark, sf, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, sf):
+    """Nulls in any column, blanks, ties, repeated rows and columns with the operators' own names."""
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    clean = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    texts = [(1, clean), (2, None), (3, ""), (None, other), (4, clean), (4, clean), (5, clean.replace("word3 ", "changed ")), (6, other[::-1] + " " + benchmark), (7, "x " * 30_000)]
+    rows = [(i, t, None, None, None, 1, "k", True, "c", [1], 0) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, key string, kept boolean, clean_text string, removed array<int>, __words int"
+    docs = spark.createDataFrame(rows, schema)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        docs = out.cache()
+        seen.append(sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()))
+    assert seen[0] == [(False, 1), (False, 4), (False, 4), (False, 5), (False, 6), (True, 0)]
+    assert seen[-1] == [(False, 1), (True, 0)]
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(placed) == 2 and all(r.n_words == 80 for r in placed)
