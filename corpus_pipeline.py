@@ -37,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand elsewhere; those of which hardly a word is left go. Texts without removed lines stay, null ones too."""
     plain, names = _set_aside(docs)
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))
-    table = lines.dedup_lines(plain.withColumn("__words", words), keep=("doc_id", *names, "__words"))
+    table = lines.dedup_lines(plain.withColumn("__words", words), distance=None, keep=("doc_id", *names, "__words"))
     left = table.where((F.size("removed") == 0) | (100 * words >= LEAST_LEFT * F.col("__words")))
     return _restored(docs, left)
 

@@ -43,7 +43,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), distance=None)
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

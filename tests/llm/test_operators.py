@@ -250,6 +250,32 @@ def test_lines(docs, empty, rows, monkeypatch):
     assert lines.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [lines.BLOCK, 3])
+def test_similar_lines_are_found_whatever_their_fingerprints(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    r = random.Random(8)
+    rows = []
+    for n in (4, 5, 6, 9, 10, 15, 24, 25, 40, 90, 200):
+        for _ in range(6):
+            base = [r.choice(WORDS[:8]) if r.random() < 0.6 else f"w{r.randint(0, 3000)}" for _ in range(n)]
+            rows.append(base)
+            for edits in {1, n // 5}:
+                near = list(base)
+                for _ in range(edits):
+                    at = r.randrange(len(near))
+                    near[at : at + r.randint(0, 1)] = [f"new{r.randint(0, 99)}"] * r.randint(0, 1)
+                rows.append(near)
+    texts = [" ".join(x) for x in rows] + [t for _, t in pairs(docs) if t and len(t) < 2000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(i, k, " ".join(x.decode() for x in w)) for i, t in enumerate(texts) for k, w in lines.normal_lines(t.encode())]
+    group = brute.groups(len(found), lambda a, b: lines.similar(found[a][2], found[b][2], 0.8))
+    first = {}
+    for f, g in zip(found, group, strict=True):
+        first[g] = min(first.get(g, f[:2]), f[:2])
+    expected = {f[:2] for f, g in zip(found, group, strict=True) if first[g] != f[:2]}
+    assert {(x.doc_id, k) for x in lines.dedup_lines(table, distance=None).collect() for k in x.removed} == expected
+
+
 @pytest.mark.parametrize("n", [10, 10**9, 10**12])
 def test_block_masks_are_complete(n):
     masks = lines.block_masks(3, n)
