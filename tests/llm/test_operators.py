@@ -276,6 +276,13 @@ def test_similar_lines_are_found_whatever_their_fingerprints(spark, docs, block,
     assert {(x.doc_id, k) for x in lines.dedup_lines(table, distance=None).collect() for k in x.removed} == expected
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    passage = "机器学习是人工智能的一个分支研究计算机怎样模拟人的学习行为"
+    rows = [(1, f"Home\nabout  us\n\n{passage}\na b c d"), (2, f"home\nAbout us\n\n{passage}\nnew one"), (3, passage.replace("分支", "部分") + "\nhomes\na b c d e")]
+    out = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect()}
+    assert out == {1: [], 2: [0, 1, 3], 3: [0, 2]}
+
+
 @pytest.mark.parametrize("n", [10, 10**9, 10**12])
 def test_block_masks_are_complete(n):
     masks = lines.block_masks(3, n)
