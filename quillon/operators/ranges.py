@@ -12,7 +12,9 @@ BUCKET = 64
 def expand(ranges: DataFrame) -> DataFrame:
     """(bates, doc_id) of ranges (doc_id, prefix, start, end): a row for every number."""
     numbers = ranges.select("doc_id", "prefix", F.explode(F.sequence("start", "end")).alias("n"))
-    return numbers.select(F.concat("prefix", F.lpad(F.col("n").cast("string"), 5, "0")).alias("bates"), "doc_id")
+    digits = F.col("n").cast("string")
+    padded = F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits)  # lpad cuts what is longer
+    return numbers.select(F.concat("prefix", padded).alias("bates"), "doc_id")
 
 
 def lookup(points: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -45,6 +45,11 @@ def test_range_lookup_across_buckets(spark):
     assert {(r.prefix, r.n, r.doc_id) for r in ranges.lookup(points, spans).collect()} == {("A", 450, 1), ("A", 899, 2), ("B", 5, 3)}
 
 
+def test_expanded_numbers_keep_all_digits(spark):
+    spans = spark.createDataFrame([(1, "A", 9, 10), (2, "A", 99_999, 100_001)], "doc_id long, prefix string, start long, end long")
+    assert {r.bates for r in ranges.expand(spans).collect()} == {"A00009", "A00010", "A99999", "A100000", "A100001"}
+
+
 def test_isolation(spark):
     rows = spark.createDataFrame([("Smith",), (None,)], "case_name string")
     assert graph.isolated(rows, "Smith").first().isolated and not graph.isolated(rows, "Doe").first().isolated
