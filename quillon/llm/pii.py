@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on each side of an entity whose terms count as seen with it, and the least length of a term.
-REACH, LEAST_TERM = 120, 4
+#: Code points on each side of an entity whose terms count as seen with it, and the windows that one word can stand in (two of each kind).
+REACH, SHARED = 120, 8
 #: Windows of different text in which a term must be seen with an entity, and the share of the entity's information that it may disclose.
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Words of a term, white space apart.
@@ -25,22 +27,42 @@ WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", r"[\x00-\x2F\x3A-\
 #: Terms up to which they are broadcast.
 BROADCAST_TERMS = 200_000
 
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+#: Steps of a fold that append to one array.
+BLOCK = 256
+
+
+def _in_blocks(n: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The array that step(state, i) builds for i of 1 to n; the state is (at, k, out: array of kind), at and k start with 0.
+
+    The steps run in blocks, so that what is appended to stays short: time is linear in n up to millions, where one fold over all is quadratic.
+    """
+    state = lambda at, k, out: F.struct(at.alias("at"), k.alias("k"), out.alias("out"))
+    none = F.array().cast(kind)
+
+    def block(a: Column, b: Column) -> Column:
+        steps = F.sequence((b - 1) * BLOCK + 1, F.least(b * BLOCK, n))
+        inner = F.aggregate(steps, state(a["at"], a["k"], none), step)
+        return let(inner, lambda x: state(x["at"], x["k"], F.concat(a["out"], F.array(x["out"]))))
+
+    blocks = F.sequence(F.lit(1), F.ceil(n / BLOCK).cast("int"))
+    folded = F.aggregate(blocks, state(F.lit(0), F.lit(0), F.array().cast(f"array<{kind}>")), block, lambda a: F.flatten(a["out"]))
+    return F.when(n > 0, folded).otherwise(none)
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """All matches in order, with code point offsets: what lies between the matches tells where they start."""
+    """All matches in order, with code point offsets: what lies between the matches tells where they start. before and after are the REACH code
+    points between a match and its neighbours."""
 
     def walk(found: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
         def step(a: Column, i: Column) -> Column:
-            begin = a["at"] + F.length(F.element_at(gaps, i))
-            end = begin + F.length(F.element_at(found, i))
-            span = F.struct(begin.alias("start"), end.alias("end"), F.element_at(found, i).alias("value"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+            gap, value = F.element_at(gaps, i), F.element_at(found, i)
+            begin = a["at"] + F.length(gap)
+            end = begin + F.length(value)
+            span = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(REACH)).alias("before"), F.left(F.element_at(gaps, i + 1), F.lit(REACH)).alias("after"))
+            return F.struct(end.alias("at"), a["k"].alias("k"), F.concat(a["out"], F.array(span)).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda a: a["out"])
+        return _in_blocks(F.size(found), _SPAN, step)
 
     none = F.array().cast(_SPAN)
     some = lambda f: F.when(F.size(f) > 0, let(F.split(text, pattern, -1), lambda g: walk(f, g))).otherwise(none)
@@ -86,8 +108,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _all_spans(spans: Column) -> Column:
-    """The spans of every kind in one array (start, rank, end, value)."""
-    one = lambda k, rank: F.transform(spans[k], lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
+    """The spans of every kind in one array (start, rank, end, value, before, after)."""
+    one = lambda k, rank: F.transform(spans[k], lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), *(s[c].alias(c) for c in ("value", "before", "after"))))
     return F.flatten(F.array(*(one(k, i) for i, k in enumerate(KINDS[:4]))))
 
 
@@ -102,54 +124,53 @@ def _words(text: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(_words(text), lambda w: (F.length(w) >= LEAST_TERM) & ~w.rlike("[0-9]"))
+    return F.filter(_words(text), lambda w: w != "")
 
 
 def _word_spans(text: Column, wanted: Column) -> Column:
     """Spans of the words whose numbers (from 0, sorted) are wanted: one walk that keeps only those."""
 
     def walk(words: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("k"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("out"))
-
         def step(a: Column, i: Column) -> Column:
             begin = a["at"] + F.length(F.element_at(gaps, i))
             end = begin + F.length(F.element_at(words, i))
-            hit = F.coalesce(F.try_element_at(wanted, a["k"]) == i - 1, F.lit(False))
+            hit = F.coalesce(F.try_element_at(wanted, a["k"] + 1) == i - 1, F.lit(False))
             span = F.struct(begin.alias("start"), F.lit(4).alias("rank"), end.alias("end"))
             return F.struct(end.alias("at"), (a["k"] + hit.cast("int")).alias("k"), F.when(hit, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda a: a["out"])
+        return _in_blocks(F.size(words), "array<struct<start:int,rank:int,end:int>>", step)
 
     return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: let(F.split(text, WORD, -1), lambda g: walk(w, g)))
 
 
-def disclosing_terms(found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term) that give an entity away, from found (text, spans): all rows of the corpus with their base spans.
+def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term) that give an entity away, from found (spans), the base spans of all rows of the corpus, and texts (text), their texts.
 
     An entity e seen n times among W windows of the corpus has information log(W / n). A term t seen N times, c of them near e, discloses
-    log(c W / (N n)) of it. Terms count if that is at least the given share and they are near e in windows of enough different texts.
+    log(c W / (N n)) of it. Terms count if that is at least the given share and they are near e in windows of enough different texts. Near is
+    what stands between e and its neighbours of the same kind, REACH code points at most. Pairs that fail even if the term stood near
+    entities only are dropped first; then every word is counted once, and a pair meets one count.
     """
-    near = found.where(F.exists(F.array(*(F.size(f"spans.{k}") > 0 for k in KINDS[:4])), lambda x: x)).select("text", F.explode(_all_spans(F.col("spans"))).alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
-    windows = near.select(_entity(F.col("s.rank"), F.col("s.value")).alias("entity"), before.alias("before"), after.alias("after"))
+    near = found.where(F.exists(F.array(*(F.size(f"spans.{k}") > 0 for k in KINDS[:4])), lambda x: x)).select(F.explode(_all_spans(F.col("spans"))).alias("s"))
+    windows = near.select(_entity(F.col("s.rank"), F.col("s.value")).alias("entity"), F.col("s.before").alias("before"), F.col("s.after").alias("after"))
     # the words cut by the window's edge are left out
     window = F.concat(F.regexp_replace("before", r"^[^\x20\x09-\x0D]*", ""), F.lit(" "), F.regexp_replace("after", r"[^\x20\x09-\x0D]*$", ""))
+    windows = materialize(windows, "windows")
     seen = windows.select("entity", F.xxhash64("before", "after").alias("window"), F.explode(F.array_distinct(_terms(window))).alias("term"))
     pairs = seen.groupBy("entity", "term", "window").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("texts"))
-    pairs = materialize(pairs.where(F.col("texts") >= support), "pairs")
-    n_terms = pairs.select("term").distinct().count()
-    if not n_terms:
-        return pairs.select("term")
+    pairs = materialize(pairs, "pairs")
     own = windows.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    wanted = pairs.select("term").distinct()
-    wanted = F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted
-    often = found.select(F.explode_outer(_words(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("often"))
-    total = found.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     w = F.lit(max(2.0, total / (2 * REACH)))
     information = F.log(w / F.least(F.col("n"), w / 2))
-    told = F.log(F.col("c") * w / (F.col("often") * F.least(F.col("n"), w / 2)))
-    return pairs.join(own, "entity").join(often, "term").where(told >= disclosure * information).select("term").distinct()
+    told = lambda often: F.log(F.col("c") * w / (often * F.least(F.col("n"), w / 2))) >= disclosure * information
+    # a word stands in SHARED windows at most, so it occurs at least so often
+    least = pairs.groupBy("term").agg(F.greatest(F.sum("c") / SHARED, F.lit(1.0)).alias("least"))
+    possible = materialize(pairs.where(F.col("texts") >= support).join(own, "entity").join(least, "term").where(told(F.col("least"))).select("term", "c", "n"), "possible")
+    if possible.isEmpty():
+        return possible.select("term")
+    often = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    return possible.join(often, "term").where(told(F.col("often"))).select("term").distinct()
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -159,14 +180,15 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     empty table have no spans; repeated rows get equal ones.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = settled(docs.select("doc_id", text.alias("text")).withColumn("spans", base_spans(F.col("text"))), "spans")
-    terms = materialize(disclosing_terms(found, support, disclosure), "terms")
+    texts = docs.select("doc_id", text.alias("text"))
+    found = settled(texts.withColumn("spans", base_spans(F.col("text"))), "spans")
+    terms = materialize(disclosing_terms(found, texts, support, disclosure), "terms")
     place = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     n_terms = terms.count()
     if not n_terms:
         return found.select("doc_id", "text", F.sort_array(place(_all_spans(F.col("spans")))).alias("spans"))
     wanted = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    words = found.select("doc_id", row_hash(F.col("text")).alias("row"), F.posexplode_outer(_words(F.col("text"))).alias("at", "term"), F.rlike(F.substring("text", 1, 1), F.lit(NO_WORD)).cast("int").alias("shift"))
+    words = texts.select("doc_id", row_hash(F.col("text")).alias("row"), F.posexplode_outer(_words(F.col("text"))).alias("at", "term"), F.rlike(F.substring("text", 1, 1), F.lit(NO_WORD)).cast("int").alias("shift"))
     at = F.array_sort(F.collect_set(F.col("at") - F.col("shift"))).alias("__at")  # a text that begins with no word has an empty first one
     hits = words.join(wanted, "term").groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(at)
     joined = found.join(hits, (row_hash(F.col("text")) == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")

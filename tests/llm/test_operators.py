@@ -215,7 +215,7 @@ def test_personal_data(docs, empty):
 
 
 def test_terms_that_give_an_entity_away(spark):
-    rows = [(i, f"😀 Zanzibar wrote to Joe@x.org, about thing{i} of the day") for i in range(5)] + [(50, "zanzibar, of the day"), (51, None)] + [(100 + i, f"they wrote about the day number{i}") for i in range(900)]
+    rows = [(i, f"😀 Zanzibar wrote to Joe@x.org, about thing{i} of the day") for i in range(5)] + [(50, "zanzibar, of the day"), (51, None)] + [(100 + i, f"they wrote to us about the day of number{i}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r for r in pii.sanitize(docs).collect()}
     assert [(s.start, s.end) for s in out[50].spans] == [(0, 8)] and out[50].sanitized == ", of the day"
