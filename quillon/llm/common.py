@@ -14,9 +14,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local runs) one is made and set."""
+    """The folder of spark.checkpoint.dir; where it is unset one is made and set for a local master, which has one machine. Elsewhere it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -29,6 +31,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, whatever number of times body uses it."""
     return F.transform(F.array(value), body)[0]

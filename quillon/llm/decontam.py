@@ -87,8 +87,11 @@ def _joined(keyed: DataFrame, hits: DataFrame) -> DataFrame:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs with __spans and __items."""
+    taken = [c for c in docs.columns if c in ("__key", "__id", "__row", "__spans", "__items")]
+    if taken:
+        raise ValueError(f"columns named {taken} must be renamed first")
     keyed = docs.withColumn("__key", row_hash(F.col("text").cast("string")))
-    return _joined(keyed, find_hits(docs, benchmark, n)).select(*docs.columns, "__spans", "__items")
+    return _joined(keyed, find_hits(docs.select("doc_id", "text"), benchmark, n)).select(*docs.columns, "__spans", "__items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
