@@ -22,10 +22,11 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k
 c AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-  CAST(coalesce(list_sum(list_transform(list_filter(lines, lambda l: (len(regexp_extract_all(l, '\|')) >= 3 AND 25 * len(regexp_extract_all(l, '\|')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')))
+  CAST(coalesce(list_sum(list_transform(list_filter(lines, lambda l: (len(regexp_extract_all(l, '[|›•·]')) >= 3 AND 25 * len(regexp_extract_all(l, '[|›•·]')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')))
     OR 6 * len(regexp_extract_all(l, '[#*$%&<>]')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))
     OR (len(regexp_extract_all(l, '!')) >= 3 AND 25 * len(regexp_extract_all(l, '!')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AND NOT regexp_matches(l, '\p{Ll}'))
-    OR (length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) < 200 AND regexp_matches(l, '(?i)\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum)\b'))),
+    OR (length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) < 200 AND regexp_matches(l, '(?i)\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum|alle rechte vorbehalten|impressum|tous droits r.serv.s|mentions l.gales|todos los derechos reservados|aviso legal|pol.tica de (?:privacidad|cookies))\b|©|\(c\) (?:19|20)[0-9]{2}'))
+    OR (regexp_matches(text, '[.!?…:;。！？।؟]["''”’»)\]]*(?:[\x20\x09-\x0D]|\z)') AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= 12 AND NOT regexp_matches(l, '[.!?…:;。！？।؟]["''”’»)\]]*[\x20\x09-\x0D]*\z'))),
     lambda l: length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')))), 0) AS BIGINT) AS lost FROM d LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 30 * word_chars AS kept FROM f

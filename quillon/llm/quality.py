@@ -11,8 +11,15 @@ from quillon.llm.common import SPACE, let, settled, words_of
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Text that may be lost to line rules, in per cent of the characters in words.
 MOST_LOST = 30
-#: Fixed phrases of pages' furniture, in lower case.
-BOILERPLATE = r"(?i)\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum)\b"
+#: Fixed phrases of pages' furniture in English, German, French and Spanish, and marks of copyright.
+BOILERPLATE = (
+    r"(?i)\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum"
+    r"|alle rechte vorbehalten|impressum|tous droits r.serv.s|mentions l.gales|todos los derechos reservados|aviso legal|pol.tica de (?:privacidad|cookies))\b|©|\(c\) (?:19|20)[0-9]{2}"
+)
+#: Words from which a line is a sentence and must end like one; the marks that end it and those that may follow them.
+SENTENCE_WORDS, ENDS, CLOSES = 12, ".!?…:;。！？।؟", "\"'”’»)\\]"
+#: Marks that part the entries of menus.
+PARTS = "|›•·"
 
 
 def repeated_words(words: Column) -> Column:
@@ -38,31 +45,37 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(marked(h))))
 
 
-def line_passes(line: Column) -> Column:
-    """A line is kept unless it is navigation (words cut apart by |), marked up (symbols on most words), shouting, or a fixed phrase of page furniture.
+def line_passes(line: Column, has_ends: Column) -> Column:
+    """A line is kept unless it is navigation (short entries parted by PARTS), marked up (symbols on most words), shouting, furniture (a fixed
+    phrase in a short line), or words without an end: SENTENCE_WORDS words or more that no mark of punctuation ends, in a text that has such
+    marks (has_ends).
 
     Lines without a word pass: there is nothing to lose.
     """
     chars = F.length(F.regexp_replace(line, f"{SPACE}+", ""))
     share = lambda pattern, per: per * F.regexp_count(line, F.lit(pattern)) > chars
-    navigation = (F.regexp_count(line, F.lit(r"\|")) >= 3) & share(r"\|", 25)
+    navigation = (F.regexp_count(line, F.lit(f"[{PARTS}]")) >= 3) & share(f"[{PARTS}]", 25)
     marked = share(r"[#*$%&<>]", 6)
     shouting = (F.regexp_count(line, F.lit("!")) >= 3) & share("!", 25) & ~line.rlike(r"\p{Ll}")
     furniture = line.rlike(BOILERPLATE) & (chars < 200)
-    return (chars == 0) | ~(navigation | marked | shouting | furniture)
+    endless = has_ends & ~line.rlike(f"[{ENDS}][{CLOSES}]*{SPACE}*\\z") & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]++")) >= SENTENCE_WORDS)
+    return (chars == 0) | ~(navigation | marked | shouting | furniture | endless)
 
 
-def quality_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def quality_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_words: int = LEAST_WORDS) -> DataFrame:
     """keep's columns, the counts, kept and clean_text (the text without failing lines), for every row of docs (doc_id, text).
 
-    Null text has no words and fails; so does any of fewer than LEAST_WORDS words, with over MOST_REPEATED per cent of its words in repeated
+    Null text has no words and fails; so does any of fewer than least_words words, with over MOST_REPEATED per cent of its words in repeated
     3-word windows, or (the method's verdict) which loses over MOST_LOST per cent of its characters in words to line rules.
     """
     lines = F.split("__text", "\n", -1)
     base = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     split = base.select("*", words_of(F.col("__text")).alias("__words"), lines.alias("__lines"))
     size = lambda text: F.length(F.regexp_replace(text, f"{SPACE}+", ""))
-    plain = ~F.col("__text").rlike(r"[|#*$%&<>!]") & ~F.col("__text").rlike(BOILERPLATE)  # no rule can fail a line
+    # no rule can fail a line: no sign of markup or menus, no phrase, and every line that has an end has its mark
+    ended = ~F.col("__text").rlike(f"[^{ENDS}{CLOSES}\\x20\\x09-\\x0D][{CLOSES}]*[\\x20\\x09\\x0B-\\x0D]*(?:\n|\\z)") & ~F.col("__text").rlike(f"(?:\\A|\n|{SPACE})[{CLOSES}]+[\\x20\\x09\\x0B-\\x0D]*(?:\n|\\z)")
+    has_ends = F.col("__text").rlike(f"[{ENDS}][{CLOSES}]*(?:{SPACE}|\\z)")
+    plain = ~F.col("__text").rlike(f"[{PARTS}#*$%&<>!]") & ~F.col("__text").rlike(BOILERPLATE) & (ended | ~has_ends)
     with_word = F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = split.select(
         *keep,
@@ -72,9 +85,9 @@ def quality_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
         F.when(F.col("__text").rlike(r"[#*$%&|<>]"), F.regexp_count("__text", F.lit(r"[#*$%&|<>]"))).otherwise(0).cast("long").alias("n_symbols"),
         let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).cast("long").alias("n_repeat_words"),
-        F.when(plain, F.col("__text")).otherwise(F.array_join(F.filter("__lines", line_passes), "\n")).alias("clean_text"),
+        F.when(plain, F.col("__text")).otherwise(F.array_join(let(has_ends, lambda e: F.filter("__lines", lambda x: line_passes(x, e))), "\n")).alias("clean_text"),
     )
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     lost = F.when(F.length("clean_text") == F.length("__text"), F.lit(0)).otherwise(F.col("word_chars") - size(F.col("clean_text")))
     judged = counted.withColumn("base_failed", failed).withColumn("lost_chars", lost.cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("word_chars"))
