@@ -32,10 +32,10 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, segments): one row a conversation of turns (conv_id, turn, role, text).
+    """(conv_id, formatted, loss_mask): one row a conversation of turns (conv_id, turn, role, text).
 
-    Turns are sorted by turn, then role, then text; neighbours of one role share a block. segments are the pieces of formatted in order, as
-    (text, loss); the loss mask holds the texts of loss_role. Null texts and roles count as empty, a null turn comes first, repeated rows are
+    Turns are sorted by turn, then role, then text; neighbours of one role share a block. loss_mask holds (start, end), code points of formatted
+    (end exclusive), for each text of loss_role in order. Null texts and roles count as empty, a null turn comes first, repeated rows are
     turns of their own, a null conv_id is a conversation. An empty table gives no rows.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -51,8 +51,16 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
             F.struct(F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("text"), F.lit(False).alias("loss")),
         )
 
-    segments = F.filter(F.flatten(F.transform("turns", pieces)), lambda s: (s["text"] != "") | s["loss"])
-    return sorted_turns.select("conv_id", segments.alias("segments")).select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    segments = F.flatten(F.transform("turns", pieces))
+    span = "array<struct<start:int,end:int>>"
+
+    def placed(a: Column, s: Column) -> Column:
+        end = a["at"] + F.length(s["text"])
+        here = F.array(F.struct(a["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(s["loss"], F.concat(a["out"], here)).otherwise(a["out"]).alias("out"))
+
+    mask = F.aggregate("segments", F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), placed, lambda a: a["out"])
+    return sorted_turns.select("conv_id", segments.alias("segments")).select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -67,15 +75,20 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def masked_text(formatted: Column, loss_mask: Column) -> Column:
+    """The texts under the loss mask, cut out of the formatted string and unescaped, one after the other."""
+    return F.array_join(F.transform(loss_mask, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["end"] - m["start"]))), "")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from format_conversations' rows: turns, and the text under the loss mask cut out of the formatted string."""
-    read = formatted.select("conv_id", "formatted", "segments", read_back(F.col("formatted")).alias("turns"))
-    masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    """What can be read back from format_conversations' rows: turns, and the text under the loss mask; both come out of the formatted string."""
+    read = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss_text"))
     shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(shown, 256).alias("turns_sha256"),
-        masked.alias("loss_text"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-    ).select("conv_id", "n_turns", "turns_sha256", F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+    )
