@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import SPACE
+from quillon.llm.common import SPACE, materialize, row_hash
 
 #: Words of a bin, and the pieces of one source that a bin may hold.
 CAPACITY, PER_SOURCE = 4096, 8
@@ -59,26 +59,30 @@ class Bins:
         return place
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, cluster: str | None = None) -> DataFrame:
-    """(doc_id, source, piece, start_word, n_words, bin_id, slot, offset): a row for each piece of each row of docs (doc_id, text, source).
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, clusters: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, text_hash, piece, start_word, n_words, bin_id, slot, offset): a row for each piece of each row of docs (doc_id, text, source).
 
     Texts are cut into pieces of capacity words at most, in order; a text without words (null too) is one piece of none. A bin holds at most
-    capacity words, one piece of a duplicate cluster and per_source pieces of a source. The cluster is docs' column of that name, or else
-    what is alike in lower case with white space collapsed. Within a group pieces come largest first, ties by doc_id and piece. Groups take
+    capacity words, one piece of a duplicate cluster and per_source pieces of a source. The cluster is that of clusters (doc_id, cluster: a
+    long; one row an id), or, where that has none, what is alike in lower case with white space collapsed. Within a group pieces come largest first, ties by doc_id and piece. Groups take
     rows by a hash of the id and cluster, about GROUP each, so that neither a hot source nor a hot cluster meets in one; bins never span
     groups. Null sources count as one source; repeated rows are pieces of one cluster; an empty table gives no bins.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n_words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++"))
-    alike = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(F.lower(F.trim(F.regexp_replace(text, f"{SPACE}+", " "))))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words.alias("total"), alike.alias("cluster"))
+    alike = F.xxhash64(F.lower(F.trim(F.regexp_replace(text, f"{SPACE}+", " "))))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), row_hash(F.col("text").cast("string")).alias("text_hash"), n_words.alias("total"), alike.alias("cluster"))
+    if clusters is not None:
+        given = clusters.select(F.col("doc_id").alias("__id"), F.xxhash64(F.col("cluster"), F.lit("cluster")).alias("__cluster"))
+        rows = rows.join(given, F.col("doc_id") == F.col("__id"), "left").withColumn("cluster", F.coalesce("__cluster", "cluster"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("total") - 1, F.lit(0)), F.lit(capacity))
-    pieces = rows.select("doc_id", "source", "cluster", "total", F.posexplode(starts).alias("piece", "start"))
-    sized = pieces.select("doc_id", "source", "cluster", "piece", "start", F.least(F.col("total") - F.col("start"), F.lit(capacity)).alias("size"))
-    groups = max(1, docs.count() // GROUP)
+    pieces = rows.select("doc_id", "source", "text_hash", "cluster", "total", F.posexplode(starts).alias("piece", "start"))
+    sized = pieces.select("doc_id", "source", "text_hash", "cluster", "piece", "start", F.least(F.col("total") - F.col("start"), F.lit(capacity)).alias("size"))
+    sized = materialize(sized, "pieces")
+    groups = max(1, sized.count() // GROUP)
     dealt = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(groups)).cast("int"))
     id_type = docs.schema["doc_id"]
-    schema = T.StructType([id_type, *(T.StructField(n, t) for n, t in (("source", T.StringType()), ("piece", T.IntegerType()), ("start_word", T.LongType()), ("n_words", T.LongType()), ("bin_id", T.StringType()), ("slot", T.LongType()), ("offset", T.LongType())))])
+    schema = T.StructType([id_type, *(T.StructField(n, t) for n, t in (("source", T.StringType()), ("text_hash", T.LongType()), ("piece", T.IntegerType()), ("start_word", T.LongType()), ("n_words", T.LongType()), ("bin_id", T.StringType()), ("slot", T.LongType()), ("offset", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bins, sources, clusters = None, Bins(capacity, per_source), {}, {}
@@ -93,18 +97,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
                 slots.append(slot)
                 offsets.append(offset)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), batch.column("piece"), batch.column("start").cast(pa.int64()), batch.column("size").cast(pa.int64()), pa.array(ids, pa.string()), pa.array(slots, pa.int64()), pa.array(offsets, pa.int64())],
+                [batch.column("doc_id"), batch.column("source"), batch.column("text_hash"), batch.column("piece"), batch.column("start").cast(pa.int64()), batch.column("size").cast(pa.int64()), pa.array(ids, pa.string()), pa.array(slots, pa.int64()), pa.array(offsets, pa.int64())],
                 names=schema.names,
             )
 
     ordered = dealt.repartition("group").sortWithinPartitions("group", F.desc("size"), "doc_id", "piece")
-    return ordered.select("group", "doc_id", "source", "cluster", "piece", "start", "size").mapInArrow(run, schema)
+    return ordered.select("group", "doc_id", "source", "text_hash", "cluster", "piece", "start", "size").mapInArrow(run, schema)
 
 
 def render(docs: DataFrame, placed: DataFrame, separator: str = "\n\n") -> DataFrame:
-    """(bin_id, doc_ids, text): each bin's pieces as text, in the order of their slots, words joined by single spaces; a bin's size bounds a row."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), f"{SPACE}+"), lambda w: w != "")
-    joined = placed.join(docs.select("doc_id", words.alias("__words")), "doc_id")
+    """(bin_id, doc_ids, text): each bin's pieces as text, in the order of their slots, words joined by single spaces; a bin's size bounds a row.
+
+    placed is pack(docs, ...); pieces find their text by id and text hash, so null ids and repeated rows come out once a piece.
+    """
+    words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    texts = docs.select(F.col("doc_id").alias("__id"), row_hash(F.col("text").cast("string")).alias("__hash"), words.alias("__words")).dropDuplicates(["__id", "__hash"])
+    joined = placed.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
     part = F.array_join(F.slice("__words", F.col("start_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
     pieces = joined.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("slot", "doc_id", part.alias("part")))).alias("p"))
     return pieces.select("bin_id", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.array_join(F.transform("p", lambda x: x["part"]), separator).alias("text"))
