@@ -26,7 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """Near copies (by fingerprint) are one cluster, so no bin holds two of them."""
+    docs = _table(spark, sf_dir, "documents")
+    near = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
+    return packing.pack(docs, clusters=near)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted (a batch sent twice), toxic ones deleted, and those not in English recounted with the other vocabulary."""
+    """All documents are inserted (a batch sent twice), toxic ones deleted, and those not in English recounted with the other vocabulary, after a compaction."""
     counts = materialize(rollups.token_counts(_table(spark, sf_dir, "documents")), "token-counts")
     toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     gone = counts.join(toxic, "doc_id", "left_semi")
@@ -57,6 +60,8 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop = rollups.changes(gone, "delete", "main", main).unionByName(rollups.changes(gone, "delete", other, other))
     for batch_id, batch in (("1-load", load), ("2-drop", drop), ("1-load", load), ("3-revise", rollups.changes(recounted, "revise", "main", other, main))):
         rollups.commit(store, batch_id, batch)
+        if batch_id == "2-drop":
+            rollups.compact(spark, store)
     return rollups.totals(spark, store)
 
 

@@ -7,6 +7,7 @@ import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,16 +82,52 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 def commit(store: str, batch_id: str, batch: DataFrame) -> None:
-    """Put a batch's deltas into the table at store. A batch sent again, or tried again after a failure, takes its own former place."""
-    rows = deltas(batch).withColumn("batch_id", F.lit(batch_id))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store)
+    """Put a batch's deltas into the table at store. A batch sent again, or tried again after a failure, takes its own former place, even if it
+    is empty now (a row of zeros keeps the place); one that compact() has taken in is closed, and sending it again changes nothing."""
+    spark = batch.sparkSession
+    zeros = spark.range(1).selectExpr("CAST(NULL AS STRING) AS source", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS tokenizer", "0L AS n_docs", "0L AS n_tokens")
+    rows = deltas(batch).unionByName(zeros).withColumn("batch_id", F.lit(batch_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{store}/deltas")
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path; no rows before it is first written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _state(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame, int]:
+    """The rows that make up the totals (of the last compaction, and of the batches since), the batches it took in, and its number."""
+    taken = _read(spark, f"{store}/taken", "batch_id string, version long")
+    version = taken.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    base = _read(spark, f"{store}/totals", f"{DELTA}, version long").where(F.col("version") == version).drop("version")
+    fresh = _read(spark, f"{store}/deltas", f"{DELTA}, batch_id string")
+    taken = taken.where(F.col("version") == version).select("batch_id")
+    return base.unionByName(fresh.join(F.broadcast(taken), "batch_id", "left_anti").drop("batch_id")), taken, version
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Fold all batches into one table of totals, so that totals() reads that and what comes later. Totals are written before the list of the
+    batches they hold; readers go by the list, so a failure between the two leaves all as it was. One writer at a time."""
+    rows, taken, version = _state(spark, store)
+    now = version + 1
+    ids = _read(spark, f"{store}/deltas", f"{DELTA}, batch_id string").select("batch_id").unionByName(taken).distinct()
+    dynamic = lambda df: df.withColumn("version", F.lit(now)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version")
+    dynamic(_summed(rows)).parquet(f"{store}/totals")
+    dynamic(ids).parquet(f"{store}/taken")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """KEYS, n_docs and n_tokens over all batches; keys that were emptied are left out."""
-    rows = spark.read.schema(f"{DELTA}, batch_id string").parquet(store)
-    summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return summed.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+    return _summed(_state(spark, store)[0]).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
 def changes(counts: DataFrame, op: str, tokenizer: str, column: str, old: str | None = None) -> DataFrame:
