@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillon.llm import decontam, lines, neardup, packing, quality
 from quillon.llm.common import materialize
 
-#: Share of its words, in per cent, that a document must keep in line dedup: with less left its lines all stand in other documents.
-LEAST_LEFT = 20
+#: A document from which line dedup took lines goes if it is left with fewer words than LEAST_WORDS and less than LEAST_LEFT per cent of its own:
+#: what is left of a copy. No document loses more words than these that don't stand elsewhere.
+LEAST_LEFT, LEAST_WORDS = 20, 50
 
 
 def _set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -20,36 +21,38 @@ def _set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in names.items())), tuple(names.values())
 
 
-def _restored(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """changed, whose columns were set aside, with the columns of docs; n_chars is counted anew where there is one."""
+def _restored(docs: DataFrame, changed: DataFrame, recount: bool = True) -> DataFrame:
+    """changed, whose columns were set aside, with the columns of docs; n_chars is counted anew (unless texts are as they were) where there is one."""
     back = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    return changed.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(back.get(c, c)).alias(c) for c in docs.columns))
+    return changed.select(*(F.length("text").cast("long").alias(c) if recount and c == "n_chars" else F.col(back.get(c, c)).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that fail. Null and short texts go."""
+    """Documents that the rules keep, without the lines that fail. Texts without words go; short ones stay if no rule fails them."""
     plain, names = _set_aside(docs)
-    table = quality.quality_table(plain, ("doc_id", *names))
+    table = quality.quality_table(plain, ("doc_id", *names), least_words=1)
     return _restored(docs, table.where("kept").withColumnRenamed("clean_text", "text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand elsewhere; those of which hardly a word is left go. Texts without removed lines stay, null ones too."""
+    """Documents without the lines that stand elsewhere; those of which hardly a word is left go (see LEAST_LEFT). Texts without removed lines stay, null ones too."""
     plain, names = _set_aside(docs)
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))
     table = lines.dedup_lines(plain.withColumn("__words", words), distance=None, keep=("doc_id", *names, "__words"))
-    left = table.where((F.size("removed") == 0) | (100 * words >= LEAST_LEFT * F.col("__words")))
+    left = table.where((F.size("removed") == 0) | (words >= LEAST_WORDS) | (100 * words >= LEAST_LEFT * F.col("__words")))
     return _restored(docs, left)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return neardup.drop_near_duplicates(docs)
+    plain, _ = _set_aside(docs)
+    return _restored(docs, neardup.drop_near_duplicates(plain), recount=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
+    plain, _ = _set_aside(docs)
+    return _restored(docs, decontam.decontaminate(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents"), recount=False)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
