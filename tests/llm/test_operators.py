@@ -294,6 +294,25 @@ def test_similar_lines_are_found_whatever_their_fingerprints(spark, docs, block,
     assert {(x.doc_id, k) for x in lines.dedup_lines(table, distance=None).collect() for k in x.removed} == expected
 
 
+def test_recall_of_long_lines_at_the_boundary(spark):
+    """Pairs of lines at an edit similarity of 0.8 to 0.95, edits apart from each other, found without the operator's code."""
+    r = random.Random(6)
+    rows, similarity = [], []
+    for k in range(400):
+        n = r.choice([25, 40, 70, 120])
+        one = [r.choice(WORDS[:8]) if r.random() < 0.5 else f"w{r.randint(0, 9000)}" for _ in range(n)]
+        other = list(one)
+        for at in r.sample(range(n), max(1, int(n * (0.2 if k % 2 else r.random() * 0.15)))):
+            other[at] = f"new{r.randint(0, 9000)}"
+        similarity.append(1 - brute.edit_distance(one, other) / n)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    removed = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect() if x.removed}
+    close = [2 * k + 1 in removed for k, x in enumerate(similarity) if 0.8 <= x < 0.85]
+    closer = [2 * k + 1 in removed for k, x in enumerate(similarity) if x >= 0.85]
+    assert sum(close) >= 0.96 * len(close) > 100 and sum(closer) >= 0.99 * len(closer) > 100
+    assert not any(2 * k + 1 in removed for k, x in enumerate(similarity) if x < 0.8)
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     passage = "机器学习是人工智能的一个分支研究计算机怎样模拟人的学习行为"
     rows = [(1, f"Home\nabout  us\n\n{passage}\na b c d"), (2, f"home\nAbout us\n\n{passage}\nnew one"), (3, passage.replace("分支", "部分") + "\nhomes\na b c d e")]
