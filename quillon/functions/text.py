@@ -163,9 +163,12 @@ def has_page_number(text: Column) -> Column:
     return count_patterns(text, PAGE_NUMBERS) >= 1
 
 
+PAGE_NUMBER_PARTS = [r"(?i)Page\s+(\d+)\s+of", r"(?i)Page\s+(\d+)", r"(\d+)\s*/\s*\d+", r"[-–]\s*(\d+)\s*[-–]"]
+
+
 def page_number(text: Column) -> Column:
-    """The number in 'Page n', else one alone on a line."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)Page\s+(\d{1,9})", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?m)^\s*(\d{1,9})\s*$", 1), F.lit(""))).cast("int")
+    """The number that a page bears, by the first pattern that finds one; null without."""
+    return F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in PAGE_NUMBER_PARTS))
 
 
 def page_estimate(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import text
+from quillon.functions import text, titles
 
 
 def page_features(pages: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def page_features(pages: DataFrame) -> DataFrame:
     t = F.col("text")
     density = F.least(F.lit(1.0), F.length(t) / 3000)
     return pages.select(
-        "doc_id", "page", "text", density.alias("density"), text.page_number(t).alias("page_number"), text.bates_number(t).alias("bates"), text.is_email_start(t).alias("is_email"), text.is_form_start(t).alias("is_form"), text.has_letterhead(t, F.col("page")).alias("has_letterhead"), text.has_signature(t).alias("has_signature")
+        "doc_id", "page", "text", density.alias("density"), text.page_number(t).alias("page_number"), text.bates_number(t).alias("bates"), text.is_email_start(t).alias("is_email"), text.is_form_start(t).alias("is_form"), text.has_letterhead(t, F.col("page")).alias("has_letterhead"), text.has_signature(t).alias("has_signature"), titles.marker_type(F.substring(t, 1, 1000)).isNotNull().alias("has_marker")
     )
 
 
@@ -26,7 +26,8 @@ def hard_boundaries(features: DataFrame) -> DataFrame:
     was = _before("bates")
     follows = (text.bates_prefix(was) == text.bates_prefix(F.col("bates"))) & (text.bates_value(F.col("bates")) == text.bates_value(was) + 1)
     broken = was.isNotNull() & F.col("bates").isNotNull() & ~F.coalesce(follows, F.lit(False))
-    score = 0.5 * F.col("is_email").cast("int") + 0.4 * F.col("is_form").cast("int") + 0.3 * F.col("has_letterhead").cast("int") + 0.3 * broken.cast("int")
+    marker = F.coalesce(F.col("has_marker"), F.lit(False)) if "has_marker" in features.columns else F.lit(False)
+    score = 0.4 * marker.cast("int") + 0.5 * F.col("is_email").cast("int") + 0.4 * F.col("is_form").cast("int") + 0.3 * F.col("has_letterhead").cast("int") + 0.3 * broken.cast("int")
     return features.withColumn("confidence", F.least(F.lit(1.0), score)).where("confidence > 0.5").select("doc_id", "page", "confidence")
 
 
@@ -81,6 +82,43 @@ def reconcile(found: DataFrame, near: float = 0.2) -> DataFrame:
     return ordered.select("doc_id", F.explode(F.aggregate("b", empty, step)).alias("x")).select("doc_id", "x.*")
 
 
+def reconcile_adjacent(found: DataFrame) -> DataFrame:
+    """(doc_id, start, end, confidence, kind): boundaries in order; where one overlaps or touches the last, they are one document if their kinds are
+    the same (and known) or over half of the shorter overlaps; else the last one ends before the next begins."""
+    ordered = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "confidence", "kind"))).alias("b"))
+
+    def step(done: Column, x: Column) -> Column:
+        last, before = F.element_at(done, -1), F.slice(done, 1, F.size(done) - 1)
+        overlap = F.least(last["end"], x["end"]) - F.greatest(last["start"], x["start"]) + 1
+        shorter = F.least(last["end"] - last["start"], x["end"] - x["start"]) + 1
+        same = ((last["kind"] == x["kind"]) & (x["kind"] != "other")) | (overlap > 0.5 * shorter)
+        field = lambda of, name: of[name].alias(name)
+        joined = F.struct(F.least(last["start"], x["start"]).alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.greatest(last["confidence"], x["confidence"]).alias("confidence"), F.when(x["confidence"] > last["confidence"], x["kind"]).otherwise(last["kind"]).alias("kind"))
+        cut = F.struct(field(last, "start"), (x["start"] - 1).alias("end"), field(last, "confidence"), field(last, "kind"))
+        met = F.when(F.coalesce(same, F.lit(False)), F.concat(before, F.array(joined))).otherwise(F.concat(before, F.array(cut), F.array(x)))
+        return F.when(F.size(done) == 0, F.array(x)).when(x["start"] <= last["end"] + 1, met).otherwise(F.concat(done, F.array(x)))
+
+    return ordered.select("doc_id", F.explode(F.aggregate("b", F.slice("b", 1, 0), step)).alias("x")).select("doc_id", "x.*")
+
+
+def large_sections(documents: DataFrame, size: int = 25) -> DataFrame:
+    """(doc_id, section, sections, first, last): documents (doc_id, pages) in fixed groups of size pages."""
+    sections = F.ceil(F.col("pages") / size).cast("int")
+    cut = documents.where("pages > 0").select("doc_id", "pages", sections.alias("sections"), F.explode(F.sequence(F.lit(1), sections)).alias("section"))
+    return cut.select("doc_id", "section", "sections", ((F.col("section") - 1) * size).alias("first"), F.least(F.col("section") * size, F.col("pages")).alias("last"))
+
+
+def split_production(pages: DataFrame, least: float = 0.7) -> DataFrame:
+    """(doc_id, start, end, kind): pages (doc_id, page, text) of a production cut into documents: signs of hard and soft boundaries, each lasting to
+    the next one, reconciled; the sure ones are kept, and fragments fill what they leave."""
+    features = page_features(pages)
+    found = hard_boundaries(features).unionByName(soft_boundaries(features)).groupBy("doc_id", "page").agg(F.max("confidence").alias("confidence"))
+    marked = pages.select("doc_id", "page").join(found, ["doc_id", "page"], "left").withColumn("is_start", F.col("confidence").isNotNull())
+    spans = document_ends(marked).where("is_start").select("doc_id", F.col("page").alias("start"), F.col("last_page").alias("end"), "confidence", F.lit(None).cast("string").alias("kind"))
+    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    return cover(reconcile(spans).where(F.col("confidence") >= least), totals)
+
+
 def document_ends(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page, is_start) with last_page, the page before the next start."""
     later = Window.partitionBy("doc_id").orderBy("page").rowsBetween(1, Window.unboundedFollowing)

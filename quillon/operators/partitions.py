@@ -42,5 +42,4 @@ def index_advice(log: DataFrame, k: int = 20) -> DataFrame:
 
 
 def latest_versions(rows: DataFrame, key: str, version: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
-    return rows.withColumn("__n", nth).where(F.col("__n") == 1).drop("__n")
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*rows.columns), version).alias("row")).select("row.*")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +30,49 @@ def dense_topk(points: DataFrame, query: list[float], k: int = 10, threshold: fl
     return scored.orderBy(_best(name), "id").limit(k)
 
 
-def dense_join(points: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """(query_id, id, score, rank): for each of a stated list of queries the k nearest points.
+#: Query vectors that are held by each task at once.
+QUERY_BLOCK = 4096
 
-    The queries are literals, so the points are read once and stay where they are; the rank limit is applied in each task before the shuffle.
+
+def dense_join(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each row of a stated query set (query_id, vector) the k nearest points; ties by id.
+
+    Queries come in blocks of bounded size, which are broadcast; each block reads the points once, and a task passes on k rows a query.
     """
-    asked = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit([float(x) for x in v]).alias("v")) for q, v in queries))
-    scores = F.transform(asked, lambda q: F.struct(q["query_id"].alias("query_id"), vectors.cosine(F.col("vector"), q["v"]).alias("score")))
-    flat = points.select("id", F.explode(scores).alias("s")).select("id", "s.query_id", "s.score")
+    numbered = queries.select("query_id", "vector").orderBy("query_id")
+    out, offset = None, 0
+    while block := numbered.offset(offset).limit(QUERY_BLOCK).collect():  # a block's size bounds what comes to the driver
+        offset += len(block)
+        held = points.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), np.array([r.vector for r in block], np.float64)))
+        found = points.select("id", "vector").mapInArrow(_nearest(held, k), "query_id long, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = points.sparkSession.createDataFrame([], "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(_best("score"), "id")
-    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(held: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the k best points of a task for each query, by one product of matrices a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors_ = held.value
+        unit = vectors_ / np.maximum(np.linalg.norm(vectors_, axis=1, keepdims=True), 1e-300)
+        best_ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            rows = np.array(batch.column("vector").to_pylist(), np.float64)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+            best = np.concatenate((best, unit @ rows.T), axis=1)
+            best_ids = np.concatenate((best_ids, np.broadcast_to(ids, (len(names), len(ids)))), axis=1)
+            order = np.lexsort((best_ids, -np.round(best, 9)), axis=1)[:, :k]
+            best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
+        if best.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
+
+    return run
 
 
 def tokens(content: Column) -> Column:
@@ -45,13 +81,32 @@ def tokens(content: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(text.STOP_WORDS))
 
 
+def _runs(sorted_items: Column, differ: Callable[[Column, Column], Column]) -> Column:
+    """The places (from 1) at which runs of a sorted array end."""
+    n = F.size(sorted_items)
+    ends = lambda i: (i == n) | differ(F.element_at(sorted_items, i), F.try_element_at(sorted_items, i + 1))
+    return F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), ends)).otherwise(F.array().cast("array<int>"))
+
+
 def sparse_vectors(docs: DataFrame, dimension: int = hashing.SPARSE_DIMENSION) -> DataFrame:
-    """(id, bucket, weight): 1 + ln(tf) of each token, the alphabetically last token of a shared bucket, scaled to length 1."""
-    counted = docs.select("id", F.explode(tokens(F.col("content"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    hashed = counted.select("id", "token", hashing.token_bucket(F.col("token"), dimension).alias("bucket"), (1 + F.log("tf")).alias("w"))
-    single = hashed.groupBy("id", "bucket").agg(F.max_by("w", "token").alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return single.select("id", "bucket", (F.col("w") / length).alias("weight"))
+    """(id, bucket, weight): 1 + ln(tf) of each token, the alphabetically last token of a shared bucket, scaled to length 1.
+
+    A text's vector is made within its row, from its sorted tokens: nothing is dealt anew.
+    """
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def weighed(words: Column) -> Column:
+        def entries(ends: Column) -> Column:
+            tf = lambda k: F.element_at(ends, k + 1) - F.when(k > 0, F.element_at(ends, F.greatest(k, F.lit(1)))).otherwise(0)
+            return F.transform(ends, lambda e, k: F.struct(hashing.token_bucket(F.element_at(words, e), dimension).alias("bucket"), F.element_at(words, e).alias("token"), (1 + F.log(tf(k))).alias("w")))
+
+        return let(_runs(words, lambda a, b: a != b), entries)
+
+    last = lambda e: let(_runs(e, lambda a, b: a["bucket"] != b["bucket"]), lambda ends: F.transform(ends, lambda i: F.element_at(e, i)))
+    vector = let(let(F.array_sort(tokens(F.col("content"))), weighed), lambda e: let(F.array_sort(e), last))
+    single = docs.select("id", vector.alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return single.select("id", length.alias("length"), F.explode("v").alias("e")).select("id", "e.bucket", (F.col("e.w") / F.col("length")).alias("weight"))
 
 
 def sparse_topk(stored: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
@@ -112,6 +167,15 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
     return lengths.select("id", score.alias("score")).where("score > 0")
 
 
+def bm25_fixed(terms: list[str], words: Column, mean_length: float = 1000.0, k1: float = 1.2, b: float = 0.75) -> Column:
+    """A score by one document's words alone: a corpus of 1,000 is taken as given, and a term's weight is log(1000 / (1 + tf))."""
+    score, n = F.lit(0.0), F.size(words)
+    for t in terms:
+        tf = F.size(F.filter(words, _equals(t)))
+        score = score + F.when(tf > 0, F.log(1000 / (1 + tf)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean_length))).otherwise(0.0)
+    return score
+
+
 def movement(fused: DataFrame) -> DataFrame:
     """How far fusion moved what the dense list held."""
     change = F.col("dense_rank") - F.col("rrf_rank")

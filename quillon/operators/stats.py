@@ -28,10 +28,26 @@ def cost_report(usage: DataFrame, *keys: str) -> DataFrame:
 
 
 def upper_median(value: str) -> Column:
-    """The element at half the count of the sorted values; of an even number the upper of the two in the middle. Partial counts meet, not rows."""
+    """The element at half the count of a group's sorted values; of an even number the upper of the two in the middle. A group's distinct values meet
+    in one task; for all rows of a table take median_of."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
+def median_of(rows: DataFrame, value: str, cells: int = 10_000) -> DataFrame:
+    """(median): the upper median of a whole table's numbers. Counts of equal cells between the extremes say which cell holds it; only that is sorted."""
+    x = rows.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
+    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if not n:
+        return x.select(F.col("x").alias("median"))
+    cell = F.floor((F.col("x") - low) / ((high - low) or 1.0) * cells)
+    before = 0
+    for which, many in sorted(tuple(r) for r in x.groupBy(cell.alias("cell")).count().collect()):  # cells + 1 rows at most
+        if before + many > n // 2:
+            break
+        before += many
+    return x.where(cell == which).orderBy("x").offset(n // 2 - before).limit(1).select(F.col("x").alias("median"))
+
+
 def performance(log: DataFrame, slow_ms: float = 1000.0) -> DataFrame:
     """Count, mean, extremes and share of slow queries of log (collection, ms)."""
     return log.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.max("ms").alias("most_ms"), F.min("ms").alias("least_ms"), F.round(100 * F.avg((F.col("ms") > slow_ms).cast("int")), 6).alias("slow_percent"), F.count_distinct("collection").alias("collections"))

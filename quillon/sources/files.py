@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
-    """(path, name, case_name, folder, size, modified_at, content): files under root whose names match; the case is the first folder below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    below = F.regexp_replace(F.col("path"), "^.*" + _quoted(root.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+def scan(spark: SparkSession, root: str, ending: str = ".pdf") -> DataFrame:
+    """(path, name, case_name, folder, size, modified_at, content): files under root whose names end so, in any case; the case is the first folder below root."""
+    anycase = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", anycase).load(root)
+    top = re.sub("^[a-z0-9]+:/*", "/", root.rstrip("/"))  # the first occurrence of the root's own path is cut off, and nothing further down
+    below = F.regexp_replace(F.col("path"), "^.*?" + _quoted(top) + "/", "")
     parts = F.split(below, "/")
     named = files.withColumn("__parts", parts)
     return named.select("path", F.element_at("__parts", -1).alias("name"), F.when(F.size("__parts") > 1, F.element_at("__parts", 1)).alias("case_name"), F.when(F.size("__parts") > 2, F.element_at("__parts", -2)).alias("folder"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
