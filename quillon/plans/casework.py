@@ -349,10 +349,10 @@ def evidence_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(titles.evidence_priority(pick("o_orderkey", EVIDENCE), cited), 6).alias("priority"))
 
 
-@query("SELECT o_custkey AS case_id, ['deposition', 'exhibit', 'regulatory', 'document', 'unheard of'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS bucket, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS mean_score FROM orders GROUP BY ALL")
+@query("SELECT o_custkey AS case_id, ['deposition', 'exhibit', 'regulatory', 'document', 'unheard of'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS bucket, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 6) AS mean_score FROM orders GROUP BY ALL")
 def research_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of a case routed to buckets by type."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id"), pick("o_orderkey", EVIDENCE).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("o_totalprice").cast("double")), 4).alias("mean_score"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id"), pick("o_orderkey", EVIDENCE).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("o_totalprice").cast("double")), 6).alias("mean_score"))
 
 
 @query("SELECT o_custkey AS case_id, concat_ws(', ', CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN count(*) FILTER (o_orderstatus = 'F') || ' facts' END, CASE WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN count(*) FILTER (o_orderstatus = 'O') || ' opinions' END) AS summary FROM orders GROUP BY 1")
