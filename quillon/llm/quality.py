@@ -11,13 +11,13 @@ from quillon.llm.common import SPACE, let, settled, words_of
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Text that may be lost to line rules, in per cent of the characters in words.
 MOST_LOST = 30
-#: Fixed phrases of pages' furniture in English, German, French and Spanish, and marks of copyright.
+#: Fixed phrases of pages' furniture in English, German, French and Spanish. The first letters come first, so that few places are looked at.
 BOILERPLATE = (
-    r"(?i)\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum"
-    r"|alle rechte vorbehalten|impressum|tous droits r.serv.s|mentions l.gales|todos los derechos reservados|aviso legal|pol.tica de (?:privacidad|cookies))\b|©|\(c\) (?:19|20)[0-9]{2}"
+    r"(?i)\b(?=[acijlmprst])(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe to our newsletter|click here|sign in|log in|read more|share this|lorem ipsum"
+    r"|alle rechte vorbehalten|impressum|tous droits r.serv.s|mentions l.gales|todos los derechos reservados|aviso legal|pol.tica de (?:privacidad|cookies))\b"
 )
-#: Words from which a line is a sentence and must end like one; the marks that end it and those that may follow them.
-SENTENCE_WORDS, ENDS, CLOSES = 12, ".!?…:;。！？।؟", "\"'”’»)\\]"
+#: Words from which a line is a sentence and must end like one; the marks that end it, those that may follow them, and white space.
+SENTENCE_WORDS, ENDS, CLOSES, BLANKS = 12, ".!?…:;。！？।؟", "\"'”’»)]", " \t\n\x0b\x0c\r"
 #: Marks that part the entries of menus.
 PARTS = "|›•·"
 
@@ -45,6 +45,15 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(marked(h))))
 
 
+def has_furniture(text: Column) -> Column:
+    return text.rlike(BOILERPLATE) | F.contains(text, F.lit("©")) | (F.contains(F.lower(text), F.lit("(c) ")) & text.rlike(r"(?i)\(c\) (?:19|20)[0-9]{2}"))
+
+
+def ends_well(line: Column) -> Column:
+    """Whether a mark of ENDS, and after it only marks of CLOSES and white space, ends the line."""
+    return let(F.rtrim(F.rtrim(line, F.lit(BLANKS)), F.lit(CLOSES)), lambda x: (x != "") & F.contains(F.lit(ENDS), F.right(x, F.lit(1))))
+
+
 def line_passes(line: Column, has_ends: Column) -> Column:
     """A line is kept unless it is navigation (short entries parted by PARTS), marked up (symbols on most words), shouting, furniture (a fixed
     phrase in a short line), or words without an end: SENTENCE_WORDS words or more that no mark of punctuation ends, in a text that has such
@@ -57,8 +66,8 @@ def line_passes(line: Column, has_ends: Column) -> Column:
     navigation = (F.regexp_count(line, F.lit(f"[{PARTS}]")) >= 3) & share(f"[{PARTS}]", 25)
     marked = share(r"[#*$%&<>]", 6)
     shouting = (F.regexp_count(line, F.lit("!")) >= 3) & share("!", 25) & ~line.rlike(r"\p{Ll}")
-    furniture = line.rlike(BOILERPLATE) & (chars < 200)
-    endless = has_ends & ~line.rlike(f"[{ENDS}][{CLOSES}]*{SPACE}*\\z") & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]++")) >= SENTENCE_WORDS)
+    furniture = has_furniture(line) & (chars < 200)
+    endless = has_ends & ~ends_well(line) & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]++")) >= SENTENCE_WORDS)
     return (chars == 0) | ~(navigation | marked | shouting | furniture | endless)
 
 
@@ -72,10 +81,10 @@ def quality_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_wo
     base = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     split = base.select("*", words_of(F.col("__text")).alias("__words"), lines.alias("__lines"))
     size = lambda text: F.length(F.regexp_replace(text, f"{SPACE}+", ""))
-    # no rule can fail a line: no sign of markup or menus, no phrase, and every line that has an end has its mark
-    ended = ~F.col("__text").rlike(f"[^{ENDS}{CLOSES}\\x20\\x09-\\x0D][{CLOSES}]*[\\x20\\x09\\x0B-\\x0D]*(?:\n|\\z)") & ~F.col("__text").rlike(f"(?:\\A|\n|{SPACE})[{CLOSES}]+[\\x20\\x09\\x0B-\\x0D]*(?:\n|\\z)")
-    has_ends = F.col("__text").rlike(f"[{ENDS}][{CLOSES}]*(?:{SPACE}|\\z)")
-    plain = ~F.col("__text").rlike(f"[{PARTS}#*$%&<>!]") & ~F.col("__text").rlike(BOILERPLATE) & (ended | ~has_ends)
+    # no rule can fail a line: no sign of markup or menus, no phrase, and each line ends with a mark
+    has_ends = F.col("__text").rlike(f"[{ENDS}][{CLOSES[:-1]}\\]]*(?:{SPACE}|\\z)")
+    ended = F.forall("__lines", lambda x: F.contains(F.lit(ENDS), F.right(F.rtrim(x), F.lit(1))))
+    plain = ~F.col("__text").rlike(f"[{PARTS}#*$%&<>!]") & ~has_furniture(F.col("__text")) & (ended | ~has_ends)
     with_word = F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = split.select(
         *keep,
