@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.operators import boundaries, chunking, graph, ranges, records
+from quillon.operators import boundaries, chunking, graph, motions, ranges, records, stats
 from quillon.sources import files
 from quillon.streaming import progress
 
@@ -155,3 +155,47 @@ def test_statute_sections(spark):
     rows = {r.number: (r.title, r.content) for r in found.collect()}
     assert rows == {"768.81": ("Comparative fault", "See s. 768.72 on damages."), "768.72": ("Pleading", "Nothing.")}
     assert [tuple(r) for r in statutes.reference_graph(found).collect()] == [("768.81", "768.72")]
+
+
+def test_edits_fold_in_order_and_extend_the_history(spark):
+    state = spark.createDataFrame([(1, "a"), (2, "b")], "id long, content string")
+    schema = "id long, content string, user_id string, reason string, seq long"
+    once = records.edit(state, spark.createDataFrame([(1, "a2", "u", "late", 2), (1, "a1", "u", "early", 1)], schema))
+    rows = {r.id: r for r in once.collect()}
+    assert rows[1].content == "a2" and [(h.old_content, h.new_content) for h in rows[1].history] == [("a", "a1"), ("a1", "a2")]
+    assert rows[2].content == "b" and not rows[2].is_edited and rows[2].history == []
+    again = records.edit(once, spark.createDataFrame([(1, "a3", "v", None, 1)], schema))
+    assert [(r.content, len(r.history)) for r in again.where("id = 1").collect()] == [("a3", 3)]
+
+
+def test_upserts_take_the_last_change(spark):
+    state = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    changes = spark.createDataFrame([(2, "late", 5), (2, "early", 1), (3, None, 2)], "id long, x string, seq long")
+    assert sorted((r.id, r.x) for r in records.upsert(state, changes, "id").collect()) == [(1, "a"), (2, "late"), (3, None)]
+
+
+def test_scan_takes_any_case_and_the_first_root_alone(spark, tmp_path):
+    for name in ("Smith/data/x.PDF", "Roe/y.pdf", "z.txt"):
+        path = tmp_path / "data" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"text")
+    rows = {r.name: (r.case_name, r.folder) for r in files.scan(spark, str(tmp_path / "data")).collect()}
+    assert rows == {"x.PDF": ("Smith", "data"), "y.pdf": ("Roe", None)}
+
+
+def test_median_of_a_whole_table(spark):
+    for values in ([5.0], [1.0, 2.0], [3.0] * 10 + [9.0], [float(x * 7 % 101) for x in range(100)]):
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        assert stats.median_of(rows, "v", cells=8).first()[0] == sorted(values)[len(values) // 2]
+    assert stats.median_of(spark.createDataFrame([], "v double"), "v").count() == 0
+
+
+def test_adjacent_boundaries(spark):
+    rows = spark.createDataFrame([(1, 0, 4, 0.9, "memo"), (1, 3, 8, 0.8, "letter"), (1, 9, 9, 0.7, "letter"), (1, 20, 21, 0.7, "letter"), (2, 0, 5, 0.5, "other"), (2, 1, 4, 0.9, "memo")], "doc_id int, start int, end int, confidence double, kind string")
+    got = sorted((r.doc_id, r.start, r.end, r.kind) for r in boundaries.reconcile_adjacent(rows).collect())
+    assert got == [(1, 0, 2, "memo"), (1, 3, 9, "letter"), (1, 20, 21, "letter"), (2, 0, 5, "memo")]
+
+
+def test_word_budgets_keep_their_limits(spark):
+    rows = spark.createDataFrame([(1, 1, "introduction", 1.0), (1, 2, "argument", 99.0), (1, 3, "argument", 1.0)], "motion_id int, ordinal int, kind string, weight double")
+    assert [r.budget for r in motions.word_budget(rows, 5000).orderBy("ordinal").collect()] == [350, 3000, 100]
