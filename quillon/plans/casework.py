@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import citing, hashing, legal, text, titles
+from quillon.functions import citing, hashing, legal, outlines, text, titles
 from quillon.operators import boundaries, evidence, facts, migration, motions, partitions, retrieval, stats
 from quillon.plans.catalog import corpus, points, query, table
 
@@ -728,3 +728,136 @@ def view_of_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     of = lambda t, name: rows.where(F.col("event_type") == t).groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
     return of("view", "views").join(of("purchase", "buys"), "user_id", "full_outer").select("user_id", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("buys", F.lit(0)).alias("buys"))
+
+
+# ---- outlines and payloads
+
+
+@query("SELECT s_suppkey AS id, ['Speed kills|Night driving', 'One theme', ''][CAST(s_suppkey % 3 AS INTEGER) + 1] AS themes FROM supplier")
+def outline_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = pick("s_suppkey", ['Option 1: "Speed kills" || Option 2: Night driving || abc', '"One theme"', "no"])
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(outlines.options(value), "|").alias("themes"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN 'the first' ELSE repeat('x', 500) || '...' END AS content FROM supplier")
+def cleaned_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.when(F.col("s_suppkey") % 2 == 0, "Option 1: the first || Option 2: another").otherwise("x" * 600)
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), outlines.clean_outline(content).alias("content"))
+
+
+@query("SELECT theme, count(*) AS n FROM (SELECT unnest([['negligent_hiring'], ['negligent_supervision', 'safety_violations'], []][CAST(o_orderkey % 3 AS INTEGER) + 1]) AS theme FROM orders) GROUP BY 1")
+def research_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = pick("o_orderkey", ["Hiring without a background check", "oversight and monitoring of safety; a violation", "safety alone"])
+    return table(spark, sf_dir, "orders").select(F.explode(outlines.themes(content)).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' alone' END AS fact, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS relevance FROM part")
+def outline_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" – "), "p_brand")).otherwise(F.concat("p_name", F.lit(" alone")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), outlines.fact_parts(line).alias("f")).select("id", "f.fact", "f.relevance")
+
+
+@query("SELECT p_partkey AS id, p_name AS opposing, p_brand AS response, 'high' AS value FROM part WHERE p_partkey % 3 <> 0")
+def counter_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 3 != 0, F.concat("p_name", F.lit(" → "), "p_brand", F.lit(" (high)"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), outlines.counter_parts(line).alias("c")).where("c IS NOT NULL").select("id", "c.opposing", "c.response", "c.value")
+
+
+@query("SELECT o_orderkey AS id, '- see ' || CASE o_orderkey % 3 WHEN 0 THEN '395.8' ELSE 'the rule' END || '... (49 C.F.R. § ' || CASE o_orderkey % 3 WHEN 0 THEN '395.8' WHEN 1 THEN '383.5' ELSE 'XXX' END || ')' AS line FROM orders")
+def regulatory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat(F.lit("see "), pick("o_orderkey", ["395.8", "the rule", "the rule"]))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), outlines.regulatory_line(content, F.when(F.col("o_orderkey") % 3 == 1, "383.5")).alias("line"))
+
+
+@query("SELECT c_custkey AS id, c_name || '_v._Roe' AS name FROM customer")
+def valid_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), outlines.valid_case_name(F.concat("c_name", F.lit(" v. R[o]e?*"))).alias("name"))
+
+
+@query("SELECT s_suppkey AS id, CAST(k AS INTEGER) AS n, md5(CASE k WHEN 0 THEN repeat('a', 400) || chr(10) || chr(10) || repeat('b', 400) WHEN 1 THEN repeat('c', 1500) ELSE s_name END) AS digest FROM supplier, (SELECT unnest([0, 1, 2]) AS k)")
+def packed_fact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat_ws("\n\n", F.lit("a" * 400), F.lit("b" * 400), F.lit("c" * 1500), F.col("s_name"))
+    chunks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.posexplode(outlines.packed_paragraphs(content)).alias("n", "chunk"))
+    return chunks.select("id", "n", F.md5("chunk").alias("digest"))
+
+
+@query(f"WITH {SECTIONS_SQL} SELECT motion_id, kind, max(ordinal) AS last_ordinal, count(*) AS n FROM sc GROUP BY ALL")
+def section_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an outline has its kinds of sections last, and how many."""
+    return sections(spark, sf_dir).groupBy("motion_id", "kind").agg(F.max("ordinal").alias("last_ordinal"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SECTIONS_SQL} SELECT motion_id, round(100.0 * sum(len(citations)) / sum(words), 6)::DOUBLE AS per_hundred, round(sum(CASE WHEN kind = 'argument' THEN words ELSE 0 END) / sum(words), 6)::DOUBLE AS argument_share FROM sc GROUP BY 1")
+def citation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations for a hundred words of a motion, and the share of words in its arguments."""
+    words = F.sum("words")
+    share = F.sum(F.when(F.col("kind") == "argument", F.col("words")).otherwise(0)) / words
+    return sections(spark, sf_dir).groupBy("motion_id").agg(F.round(100 * F.sum(F.size("citations")) / words, 6).alias("per_hundred"), F.round(share, 6).alias("argument_share"))
+
+
+@query("SELECT o_orderkey AS id, json_object('id', o_orderkey, 'status', o_orderstatus, 'day', strftime(o_orderdate, '%Y-%m-%d')) AS payload FROM orders")
+def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), day)).alias("payload"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day FROM orders")
+def payloads_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = event_payloads(spark, sf_dir).select(F.from_json("payload", "id long, status string, day date").alias("p"))
+    return back.select("p.id", "p.status", "p.day")
+
+
+@query("SELECT o_orderkey AS id, least(5, greatest(1, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 END, 3))) AS strength, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'other' END AS status FROM orders")
+def defaults_and_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults for what is missing, known values only, numbers within limits."""
+    given = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 9)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.least(F.lit(5), F.greatest(F.lit(1), F.coalesce(given, F.lit(3)))).alias("strength"), F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus")).otherwise("other").alias("status"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'letter' ELSE 'photo' END AS kind FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def admitted_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the kinds that are let in, and those that are forced in."""
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "letter").otherwise("photo")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind")).where(F.col("kind").isin("letter", "memo") | (F.col("id") % 5 == 0))
+
+
+@query("SELECT v.user_id, count(*) AS n FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 1 DAY GROUP BY 1")
+def views_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined by user within a day; the same plan joins streams with watermarks."""
+    rows = table(spark, sf_dir, "events")
+    v = rows.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen_at"))
+    p = rows.where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("ts").alias("bought_at"))
+    near = (F.col("user_id") == F.col("buyer")) & (F.col("bought_at") >= F.col("seen_at")) & (F.col("bought_at") <= F.col("seen_at") + F.expr("INTERVAL 1 DAY"))
+    return v.join(p, near).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS case_id, c_name AS case_name, n_name AS matter, count(o_orderkey) AS documents FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def matter_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matters, their cases and the documents in these."""
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.count(F.lit(1)).alias("documents"))
+    cases = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return cases.select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("case_name"), F.col("n_name").alias("matter")).join(n, "case_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+
+
+@query("SELECT o_custkey AS case_id, count(*) AS documents, count(DISTINCT o_orderstatus) AS kinds, CAST(sum(length(o_orderpriority)) AS BIGINT) AS size FROM orders GROUP BY 1")
+def case_document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("o_orderstatus").alias("kinds"), F.sum(F.length("o_orderpriority")).alias("size"))
+
+
+@query("SELECT o_orderkey AS id, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS days, round(100 * date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / 3650.0, 4)::DOUBLE AS percent FROM orders")
+def elapsed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), days.alias("days"), F.round(100 * days / 3650, 4).alias("percent"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
+def dated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that have a date, within both bounds."""
+    date = F.when(F.col("o_orderkey") % 4 != 0, F.to_date("o_orderdate"))
+    return table(spark, sf_dir, "orders").where(date.isNotNull() & date.between(F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date"))).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT p_partkey AS id, sha256(p_name || ':' || p_size || ':pdf') AS digest FROM part")
+def metadata_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of what a file's listing says of it."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.sha2(F.concat_ws(":", "p_name", F.col("p_size").cast("string"), F.lit("pdf")), 256).alias("digest"))
