@@ -857,7 +857,30 @@ def dated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(date.isNotNull() & date.between(F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date"))).select(F.col("o_orderkey").alias("id"))
 
 
-@query("SELECT p_partkey AS id, sha256(p_name || ':' || p_size || ':pdf') AS digest FROM part")
+@query("SELECT p_partkey AS id, sha256(p_name || '|' || p_size || '|pdf') AS digest FROM part")
 def metadata_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of what a file's listing says of it."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.sha2(F.concat_ws(":", "p_name", F.col("p_size").cast("string"), F.lit("pdf")), 256).alias("digest"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), hashing.metadata_hash(F.col("p_name"), F.col("p_size"), F.lit("pdf")).alias("digest"))
+
+
+@query("SELECT p_partkey AS id, round(list_sum(list_transform(range(1, 16, 2), lambda i: CAST(('0x' || substring(sha256(p_name), CAST(i AS INTEGER), 2)) AS INTEGER) / 255.0)), 6)::DOUBLE AS total FROM part")
+def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight numbers that stand for a hash, summed up."""
+    v = hashing.hash_vector(F.sha2("p_name", 256))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT p_partkey AS id, repeat(chr(CAST(65 + p_partkey % 60 % 26 AS INTEGER)), p_partkey % 60 // 26 + 1) AS label FROM part")
+def exhibit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), hashing.exhibit_label((F.col("p_partkey") % 60).cast("int")).alias("label"))
+
+
+@query("SELECT c_custkey AS id, 'store:case:' || c_custkey || ':facts' AS key FROM customer")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), hashing.cache_key("store", "case", F.col("c_custkey").cast("string"), F.lit("facts")).alias("key"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'case_7_smith' WHEN 1 THEN 'unnamed_case' ELSE repeat('x', 54) || '_' || substring(md5(repeat('x', 80)), 1, 8) END AS name FROM customer")
+def collection_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = pick("c_custkey", ["7  Smith!", "?!", "x" * 80])
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), hashing.collection_name(name).alias("name"))
