@@ -42,5 +42,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
+""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+c AS (SELECT conv_id, conv_id - ((conv_id % 20) + 20) % 20 AS src, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INTEGER) + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations), crc),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+b AS (SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN o ON o.conv_id = c.src AND o.k <= c.h UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d, sha256(length(role) || ':' || role || text) AS x, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM b),
+p AS (SELECT conv_id, 0 AS d, '' AS key, CAST(NULL AS VARCHAR) AS up, 0 AS w FROM c UNION ALL SELECT r.conv_id, p.d + 1, sha256(p.key || r.x), p.key, r.w FROM p JOIN r ON r.conv_id = p.conv_id AND r.d = p.d + 1),
+n AS (SELECT key, min(d) AS d, min(up) AS up, min(w) AS w, count(*) AS n, min(conv_id) AS conv_id FROM p GROUP BY key),
+kids AS (SELECT up AS key, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+under AS (SELECT p.key, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (kids.key IS NULL) AS leaves FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN kids ON kids.key = n.key GROUP BY p.key),
+last AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM p JOIN last USING (conv_id, d) GROUP BY key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, n.n AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n above ON above.key = n.up LEFT JOIN kids ON kids.key = n.key JOIN under ON under.key = n.key LEFT JOIN ends ON ends.key = n.key
+""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text),
+  'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS m FROM w LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+cells AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, m),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step:step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) t(step)),
+e AS (SELECT part, filter_order, step, own, n, good, toxic, m[own] AS fails, coalesce(list_bool_or(list_transform(before, lambda k: coalesce(m[k], false))), false) AS gone,
+  len(list_filter(map_values(m), lambda v: v)) = 1 AS single FROM cells, s),
+g AS (SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails AND single), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g
 """,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, lines, packing, pii, pst, quality, rollups, sharding, simhash
+from quillon.llm import chat, classifier, decontam, filter_audit, lines, packing, pii, prefix_trie, pst, quality, rollups, sharding, simhash
 from quillon.llm.common import materialize, shared_dir
 
 
@@ -82,6 +82,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt so that they share prefixes: up to three turns of the first of each twenty."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), share=20)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
     "op2_decontamination": op2_decontamination,
@@ -93,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minimax_sharding": op8_minimax_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_filter_audit": op13_filter_audit,
 }

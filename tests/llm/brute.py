@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -108,3 +109,68 @@ def groups(n, linked):
             if linked(a, b):
                 parent[find(a)] = find(b)
     return [find(x) for x in range(n)]
+
+
+def trie(rows, share=None):
+    """{prefix: (smallest member, depth, parent's, members, children, leaves, saved, ends)} of (conv_id, turn, role, text)"""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4 if share and c is not None else 0
+        built[c] = tuple((own.get(c - c % share, []) if share and c is not None else [])[:h] + turns[h:])
+    members = collections.defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    least = lambda cs: None if None in cs else min(cs)
+    children = collections.defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+
+    def under(p):
+        todo, out = [p], []
+        while todo:
+            out.append(todo.pop())
+            todo += children[out[-1]]
+        return out
+
+    out = {}
+    for p, cs in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in cs if c is not None and built[c] == p))
+        saved = sum((len(members[q]) - 1) * len(SPACED.findall(q[-1][1])) for q in under(p) if q)
+        leaves = sum(not children[q] for q in under(p))
+        out[p] = (least(cs), len(p), least(members[p[:-1]]) if p else None, len(cs), len(children[p]), leaves, saved, hashlib.sha256(ends.encode()).hexdigest())
+    return out
+
+
+def filter_masks(rows):
+    """The set of failed filters of each of (doc_id, text)"""
+    least = {}
+    for i, text in rows:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    out = []
+    for i, text in rows:
+        text = text or ""
+        words = SPACED.findall(text)
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 3 * len(text), "D": bool(re.search(r"[#$%&*|]", text)), "E": i is not None and i > least[text]}
+        out.append({k for k, v in fails.items() if v})
+    return out
+
+
+def filter_audit(failed):
+    """{(order, step): (kept, removed, redundant, unique, good lost, toxic lost, shapley)} of one part's (failed filters, good, toxic)"""
+    out, by_filter = {}, collections.Counter()
+    for order in map("".join, itertools.permutations("ABCDE")):
+        left = list(failed)
+        for step, f in enumerate(order, 1):
+            gone = [x for x in left if f in x[0]]
+            left = [x for x in left if f not in x[0]]
+            earlier = sum(f in x[0] for x in failed) - sum(f in x[0] for x in gone)
+            out[order, step] = (len(left), len(gone), earlier, sum(x[0] == {f} for x in failed), sum(x[1] for x in gone), sum(x[2] for x in gone))
+            by_filter[f] += len(gone)
+    return {k: (*v, by_filter[k[0][k[1] - 1]]) for k, v in out.items()}
