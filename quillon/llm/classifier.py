@@ -141,7 +141,7 @@ def gradients(pieces: list[tuple[np.ndarray, bool]], doc: np.ndarray, labels: np
     pooled = np.maximum(np.where(late, by_segment[second], by_segment[first]), 0)
     states = np.maximum(pooled @ net.hidden + net.hidden_bias, 0)
     of, n = doc[piece], len(labels)
-    best = np.zeros((n, HIDDEN), np.float32)
+    best = np.zeros((n, HIDDEN), states.dtype)
     np.maximum.at(best, of, states)
     p = _sigmoid(best @ net.out + net.out_bias[0])
     loss = -np.mean(np.where(labels == 1, np.log(p + 1e-12), np.log(1 - p + 1e-12)))
