@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import legal, text
 
@@ -32,20 +38,72 @@ def best_for_sections(scored: DataFrame, k: int = 10, least: float = 0.0) -> Dat
     return scored.where(F.col("score") >= least).withColumn("nth", nth).where(F.col("nth") <= k)
 
 
+#: Points that tasks hold at once.
+POINTS = 4096
+
+
 def shared_words(points: DataFrame, facts: DataFrame, k: int = 5, longer_than: int = 4, most_documents: int | None = None) -> DataFrame:
-    """(point_id, fact_id, shared): the k facts that share most words of some length with each point; joined on the words.
+    """(point_id, fact_id, shared): the k facts that share most words of some length with each point, ties by id; facts without a shared word are absent.
 
-    Words that more than most_documents facts hold say little; leave them out by the parameter where a corpus has such.
+    points are a stated set: they are held by the tasks, POINTS at a time, as lists of points by word, so that a word that all facts hold makes
+    no rows under one key; a task passes on k rows a point. Words that more than most_documents facts hold can be left out.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > longer_than))
-    asked = points.select("point_id", F.explode(words(F.col("content"))).alias("word"))
-    held = facts.select("fact_id", F.explode(words(F.col("content"))).alias("word"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > longer_than))
+    asked = points.select("point_id", words(F.col("content")).alias("words"))
+    held = facts.select("fact_id", words(F.col("content")).alias("words"))
     if most_documents is not None:
-        common = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_documents).select("word")
-        held = held.join(common, "word", "left_anti")
-    shared = asked.join(held, "word").groupBy("point_id", "fact_id").agg(F.count(F.lit(1)).alias("shared"))
+        common = held.select("fact_id", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_documents).select("word")
+        held = held.select("fact_id", F.explode("words").alias("word")).join(common, "word", "left_semi").groupBy("fact_id").agg(F.collect_list("word").alias("words"))
+    schema = T.StructType([points.schema["point_id"], facts.schema["fact_id"], T.StructField("shared", T.LongType())])
+    out = None
+    for block in _blocks(asked):
+        by_word: dict[str, list[int]] = {}
+        for i, r in enumerate(block):
+            for w in r.words:
+                by_word.setdefault(w, []).append(i)
+        lists = {w: np.array(v) for w, v in by_word.items()}
+        part = held.mapInArrow(_most_shared(points.sparkSession.sparkContext.broadcast((np.array([r.point_id for r in block]), lists)), k), schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return points.sparkSession.createDataFrame([], schema)
     nth = F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc("shared"), "fact_id"))
-    return shared.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    return out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+
+
+def _blocks(asked: DataFrame) -> Iterator[list[Row]]:
+    """Rows by POINTS; they come to the driver a partition at a time."""
+    held: list[Row] = []
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) == POINTS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _most_shared(held: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the k facts of a task that share most words with each held point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lists = held.value
+        best = [np.zeros((len(names), 0), np.int64) for _ in range(2)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids, counts = some.column("fact_id").to_numpy(), np.zeros((len(names), some.num_rows), np.int64)
+                for j, words in enumerate(some.column("words").to_pylist()):
+                    met = [lists[w] for w in words or () if w in lists]
+                    if met:
+                        counts[:, j] = np.bincount(np.concatenate(met), minlength=len(names))
+                shared, owners = np.concatenate((best[0], counts), axis=1), np.concatenate((best[1], np.broadcast_to(ids, counts.shape)), axis=1)
+                order = np.lexsort((owners, -shared), axis=1)[:, :k]
+                best = [np.take_along_axis(shared, order, 1), np.take_along_axis(owners, order, 1)]
+        if best[0].size:
+            keep = (best[0] > 0).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best[0].shape[1])[keep]), pa.array(best[1].ravel()[keep]), pa.array(best[0].ravel()[keep])], names=["point_id", "fact_id", "shared"])
+
+    return run
 
 
 def running_context(sections: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import hashing, text, vectors
 
@@ -37,19 +43,37 @@ QUERY_BLOCK = 4096
 def dense_join(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): for each row of a stated query set (query_id, vector) the k nearest points; ties by id.
 
-    Queries come in blocks of bounded size, which are broadcast; each block reads the points once, and a task passes on k rows a query.
+    Queries come in ranges of ids of bounded size, which are broadcast; each reads the points once, and a task passes on k rows a query.
+    The bounds are taken once, from ranges over sorted ids; rows that repeat an id are in one range.
     """
-    numbered = queries.select("query_id", "vector").orderBy("query_id")
-    out, offset = None, 0
-    while block := numbered.offset(offset).limit(QUERY_BLOCK).collect():  # a block's size bounds what comes to the driver
-        offset += len(block)
+    found = None
+    for block in _blocks(queries.select("query_id", "vector")):
         held = points.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), np.array([r.vector for r in block], np.float64)))
-        found = points.select("id", "vector").mapInArrow(_nearest(held, k), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = points.sparkSession.createDataFrame([], "query_id long, id long, score double")
+        near = points.select("id", "vector").mapInArrow(_nearest(held, k), "query_id long, id long, score double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = points.sparkSession.createDataFrame([], "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(_best("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
+    """Query rows, QUERY_BLOCK at a time: one job sorts them into partitions of that size, and each is fetched on its own."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        rows = queries.collect()
+        if rows:
+            yield rows
+        return
+    dealt = queries.repartitionByRange(-(-n // QUERY_BLOCK) * 2, "query_id")
+    held: list[Row] = []
+    for row in dealt.toLocalIterator():  # a partition at a time; a block bounds what the driver holds
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def _nearest(held: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -81,32 +105,58 @@ def tokens(content: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(text.STOP_WORDS))
 
 
-def _runs(sorted_items: Column, differ: Callable[[Column, Column], Column]) -> Column:
-    """The places (from 1) at which runs of a sorted array end."""
-    n = F.size(sorted_items)
-    ends = lambda i: (i == n) | differ(F.element_at(sorted_items, i), F.try_element_at(sorted_items, i + 1))
-    return F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), ends)).otherwise(F.array().cast("array<int>"))
+#: As many tokens' buckets a task remembers at most.
+REMEMBERED = 500_000
+_WORD = re.compile(rb"[a-z0-9]{2,}")
 
 
 def sparse_vectors(docs: DataFrame, dimension: int = hashing.SPARSE_DIMENSION) -> DataFrame:
     """(id, bucket, weight): 1 + ln(tf) of each token, the alphabetically last token of a shared bucket, scaled to length 1.
 
-    A text's vector is made within its row, from its sorted tokens: nothing is dealt anew.
+    A text's vector is made where it lies and nothing is dealt anew; a token is hashed once a task. Texts are lowered by Spark and counted in
+    Arrow batches: as expressions over the array of words the same took ten times as long. Null texts and texts without tokens have no rows.
     """
-    let = lambda value, body: F.transform(F.array(value), body)[0]
+    schema = T.StructType([docs.schema["id"], T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())])
+    lowered = docs.select("id", F.lower(F.coalesce("content", F.lit(""))).cast("binary").alias("content"))
+    return lowered.mapInArrow(_encoder(dimension), schema)
 
-    def weighed(words: Column) -> Column:
-        def entries(ends: Column) -> Column:
-            tf = lambda k: F.element_at(ends, k + 1) - F.when(k > 0, F.element_at(ends, F.greatest(k, F.lit(1)))).otherwise(0)
-            return F.transform(ends, lambda e, k: F.struct(hashing.token_bucket(F.element_at(words, e), dimension).alias("bucket"), F.element_at(words, e).alias("token"), (1 + F.log(tf(k))).alias("w")))
 
-        return let(_runs(words, lambda a, b: a != b), entries)
+def encoded(content: bytes, bucket_of: Callable[[bytes], int]) -> dict[int, float]:
+    """The weights of one lower-case text by bucket."""
+    counts = Counter(_WORD.findall(content))
+    for word in _STOPPED:
+        counts.pop(word, None)
+    last: dict[int, bytes] = {}
+    for token in counts:
+        bucket = bucket_of(token)
+        if token > last.get(bucket, b""):
+            last[bucket] = token
+    weights = {bucket: 1 + math.log(counts[token]) for bucket, token in last.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    return {bucket: w / length for bucket, w in weights.items()}
 
-    last = lambda e: let(_runs(e, lambda a, b: a["bucket"] != b["bucket"]), lambda ends: F.transform(ends, lambda i: F.element_at(e, i)))
-    vector = let(let(F.array_sort(tokens(F.col("content"))), weighed), lambda e: let(F.array_sort(e), last))
-    single = docs.select("id", vector.alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return single.select("id", length.alias("length"), F.explode("v").alias("e")).select("id", "e.bucket", (F.col("e.w") / F.col("length")).alias("weight"))
+
+_STOPPED = [w.encode() for w in text.STOP_WORDS]
+
+
+def _encoder(dimension: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the vectors of (id, content), some thousands of rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @functools.lru_cache(maxsize=REMEMBERED)
+        def bucket_of(token: bytes) -> int:
+            return int.from_bytes(hashlib.sha256(token).digest(), "big") % dimension
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                vectors_ = [encoded(t, bucket_of) for t in some.column("content").to_pylist()]
+                ids = some.column("id").take(pa.array(np.repeat(np.arange(len(vectors_)), [len(v) for v in vectors_])))
+                buckets = pa.array([b for v in vectors_ for b in v], pa.int64())
+                weights = pa.array([w for v in vectors_ for w in v.values()], pa.float64())
+                yield pa.RecordBatch.from_arrays([ids, buckets, weights], names=["id", "bucket", "weight"])
+
+    return run
 
 
 def sparse_topk(stored: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:

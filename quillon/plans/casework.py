@@ -695,11 +695,15 @@ def usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "calls", "tokens", F.round(F.col("tokens") / F.greatest("calls", F.lit(1)), 4).alias("mean_tokens"))
 
 
-@query("SELECT model, kind, rate FROM (VALUES ('text-embedding-3-small', 'input', 0.02), ('text-embedding-3-small', 'output', 0.0), ('gpt-3.5-turbo', 'input', 0.5), ('gpt-3.5-turbo', 'output', 1.5), ('gpt-4', 'input', 30.0), ('gpt-4', 'output', 60.0)) AS v(model, kind, rate)")
+@query("""WITH u AS (SELECT ['gpt-4', 'gpt-3.5-turbo', 'unknown'][CAST(l_linenumber % 3 AS INTEGER) + 1] AS model, CAST(sum(l_partkey) AS BIGINT) AS tokens FROM lineitem GROUP BY 1)
+SELECT v.model, kind, CAST(rate AS DOUBLE) AS rate, coalesce(tokens, 0) AS tokens, round(CAST(rate AS DOUBLE) * coalesce(tokens, 0) / 1e6, 6) AS cost FROM (VALUES ('text-embedding-3-small', 'input', 0.02), ('text-embedding-3-small', 'output', 0.0), ('gpt-3.5-turbo', 'input', 0.5), ('gpt-3.5-turbo', 'output', 1.5), ('gpt-4', 'input', 30.0), ('gpt-4', 'output', 60.0)) AS v(model, kind, rate) LEFT JOIN u ON u.model = v.model""")
 def price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of a million tokens, a row a model and kind."""
+    """Prices of a million tokens, a row a model and kind, with the tokens that a log has of the model and what they would cost."""
     rows = spark.createDataFrame([(m, i * 1000, o * 1000) for m, (i, o) in stats.PRICES.items()], "model string, input double, output double")
-    return rows.unpivot("model", ["input", "output"], "kind", "rate").withColumn("rate", F.round("rate", 6))
+    prices = rows.unpivot("model", ["input", "output"], "kind", "rate").withColumn("rate", F.round("rate", 6))
+    used = table(spark, sf_dir, "lineitem").groupBy(pick("l_linenumber", ["gpt-4", "gpt-3.5-turbo", "unknown"]).alias("model")).agg(F.sum("l_partkey").alias("tokens"))
+    tokens = F.coalesce("tokens", F.lit(0)).cast("long")
+    return prices.join(used, "model", "left").select("model", "kind", "rate", tokens.alias("tokens"), F.round(F.col("rate") * tokens / 1e6, 6).alias("cost"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS session, count(*) AS documents, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS cost, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS mean_cost FROM orders GROUP BY 1")
@@ -715,11 +719,11 @@ def parts_in_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("l_orderkey").alias("a"), F.col("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("most")).where("n > 1")
 
 
-@query("SELECT DISTINCT trim(lower(s)) AS name FROM (SELECT unnest([' Federal_Rules ', 'florida_statutes', 'FLORIDA_STATUTES']) AS s) ORDER BY 1")
+@query("SELECT trim(lower(CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_mktsegment || ' ' ELSE lower(c_mktsegment) END)) AS name, count(*) AS n FROM customer GROUP BY 1")
 def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared tables as a sorted set of normalised names."""
-    given = spark.createDataFrame([(" Federal_Rules ",), ("florida_statutes",), ("FLORIDA_STATUTES",)], "s string")
-    return given.select(F.trim(F.lower("s")).alias("name")).distinct()
+    """Names of shared tables, however spelt, as a set of normalised names with their number."""
+    given = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(" "))).otherwise(F.lower("c_mktsegment")).alias("s"))
+    return given.groupBy(F.trim(F.lower("s")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH v AS (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1), p AS (SELECT user_id, count(*) AS buys FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT coalesce(v.user_id, p.user_id) AS user_id, coalesce(views, 0) AS views, coalesce(buys, 0) AS buys FROM v FULL JOIN p ON v.user_id = p.user_id")

@@ -314,9 +314,9 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("o_orderkey").alias("doc_id"), F.lit("DEF").alias("prefix"), (F.col("o_orderkey") * 8).alias("start"), (F.col("o_orderkey") * 8 + F.col("n") - 1).alias("end"))
 
 
-@query(f"WITH {RANGES_SQL} SELECT 'DEF' || CASE WHEN k < 10000 THEN lpad(CAST(k AS VARCHAR), 5, '0') ELSE CAST(k AS VARCHAR) END AS bates, doc_id FROM (SELECT doc_id, unnest(range(start, stop + 1)) AS k FROM r WHERE stop < 100000)")
+@query(f"WITH {RANGES_SQL} SELECT 'DEF' || CASE WHEN k < 10000 THEN lpad(CAST(k AS VARCHAR), 5, '0') ELSE CAST(k AS VARCHAR) END AS bates, doc_id FROM (SELECT doc_id, unnest(range(start, stop + 1)) AS k FROM r)")
 def bates_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.expand(_ranges(spark, sf_dir).where("end < 100000"))
+    return ranges.expand(_ranges(spark, sf_dir))
 
 
 @query(f"WITH {RANGES_SQL}, p AS (SELECT DISTINCT 'DEF' AS prefix, l_partkey * 7 AS n FROM lineitem) SELECT p.prefix, n, min(doc_id) AS doc_id FROM p JOIN r ON n BETWEEN start AND stop GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Keyed state on streams: entries that expire, counted hits and misses."""
+"""Keyed state on streams: how far each case has come, and how often it went back."""
 
 from __future__ import annotations
 
@@ -6,22 +6,31 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "user_id long, hits long, misses long, last_ms long"
+from quillon.streaming.progress import STAGES
 
+OUTPUT = "user_id long, furthest string, steps_back long, n long"
+_STATE = "furthest int, steps_back long, n long"
 
-def _touch(ttl_ms: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hits, misses, last = state.get if state.exists else (0, 0, None)
-    times = sorted(t for b in batches for t in (b["ts"].astype("int64") // (10**6 if b["ts"].dtype == "datetime64[ns]" else 10**3)).tolist())
-    for t in times:
-        fresh = last is not None and t - last <= ttl_ms
-        hits, misses, last = hits + fresh, misses + (not fresh), t
-    state.update((hits, misses, last))
-    yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [misses], "last_ms": [last]})
 
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    furthest, back, n = state.get if state.exists else (-1, 0, 0)
+    rows = pd.concat([b[["ts", "event_id", "stage"]] for b in batches]).sort_values(["ts", "event_id"])
+    reached = rows["stage"].cummax().clip(lower=furthest)
+    back += int((rows["stage"] < reached).sum())
+    furthest, n = int(reached.iloc[-1]), n + len(rows)
+    state.update((furthest, back, n))
+    yield pd.DataFrame({"user_id": [key[0]], "furthest": [STAGES[furthest]], "steps_back": [back], "n": [n]})
 
-def cache_log(events: DataFrame, ttl_ms: int) -> DataFrame:
-    """Per key how often an entry was found alive: each access keeps it for ttl_ms. Update mode; state is three numbers a key."""
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(lambda k, b, s: _touch(ttl_ms, k, b, s), OUTPUT, "hits long, misses long, last_ms long", "update", GroupStateTimeout.NoTimeout)
 
+def stage_progress(events: DataFrame) -> DataFrame:
+    """Per user (user_id, furthest, steps_back, n): the furthest stage so far, and how many events came after one of a later stage.
+
+    A stream in update mode; state is three numbers a user. Events of a trigger are taken by ts and event_id, triggers in the order they come;
+    rows of other kinds than STAGES don't count.
+    """
+    stage = F.array_position(F.array(*(F.lit(s) for s in STAGES)), F.col("event_type")).cast("int") - 1
+    known = events.select("user_id", "ts", "event_id", stage.alias("stage")).where("stage >= 0")
+    return known.groupBy("user_id").applyInPandasWithState(_advance, OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)

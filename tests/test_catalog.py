@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import casework  # noqa: F401
+from quillon.plans import casework, library  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
 
 

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -110,19 +111,21 @@ def test_embedding_and_search(spark):
     assert typed[1] == "other"
 
 
-def test_cache_state_over_a_stream(spark, sf, tmp_path):
+def test_progress_state_over_a_stream(spark, tmp_path):
     from quillon.streaming import state
 
-    query = state.cache_log(progress.read_events(spark, sf), 6 * 3600 * 1000).writeStream.outputMode("update").format("memory").queryName("cache").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {r.user_id: (r.hits, r.misses) for r in spark.table("cache").collect()}
-    times = {}
-    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
-        times.setdefault(r.user_id, []).append(r.ts.timestamp())
-    for user, ts in times.items():
-        ts.sort()
-        hits = sum(b - a <= 6 * 3600 for a, b in zip(ts, ts[1:], strict=False))
-        assert got[user] == (hits, len(ts) - hits)
+    kinds = ["view", "signup", "click", "other", "purchase", "view"]
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(i, at(i), 1, k, 0.0, "") for i, k in enumerate(kinds)] + [(9, at(0), 2, "error", 0.0, ""), (10, at(1), None, "view", 0.0, "")]
+    later = [(20, at(9), 1, "click", 0.0, ""), (21, at(9), 3, "other", 0.0, "")]
+    for name, part in (("a", rows), ("b", later)):
+        spark.createDataFrame(part, progress.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.stage_progress(progress.read_events(spark, str(tmp_path / "in"), "*.parquet"))
+        seen = {}
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, n, seen=seen: seen.update({r.user_id: tuple(r)[1:] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        expected = {1: ("purchase", 2, 5), 2: ("error", 0, 1), None: ("view", 0, 1)} if name == "a" else {1: ("purchase", 3, 6)}
+        assert seen == expected
 
 
 def test_partitions(spark):
