@@ -52,11 +52,11 @@ def fit(points: DataFrame, cells: int | None = None, sample: int = SAMPLE, seed:
     n = points.count()
     share = min(1.0, 1.3 * sample / max(n, 1))
     some = points.where(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).select("vector").limit(sample).collect()
-    size = max((len(r.vector) for r in some), default=0)
+    if not some:
+        return Fitted(np.zeros((1, 0), np.float32), 1)
+    size = max(len(r.vector) for r in some)
     rows = _unit(np.array([r.vector for r in some if len(r.vector) == size], np.float32).reshape(-1, size))
-    many = max(1, min(cells or math.isqrt(n), CELLS, len(np.unique(rows, axis=0)))) if len(rows) else 1
-    if not len(rows):
-        return Fitted(np.zeros((1, size), np.float32), 1)
+    many = max(1, min(cells or math.isqrt(n), CELLS, len(np.unique(rows, axis=0))))
     centres = rows[np.random.default_rng(seed).choice(len(rows), many, replace=False)]
     for _ in range(ROUNDS):
         own = (rows @ centres.T).argmax(axis=1)
