@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import casework, library, passages, searches, stores  # noqa: F401
+from quillon.plans import casework, intake, library, passages, searches, stores  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
 
 
