@@ -696,14 +696,14 @@ def usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT ['gpt-4', 'gpt-3.5-turbo', 'unknown'][CAST(l_linenumber % 3 AS INTEGER) + 1] AS model, CAST(sum(l_partkey) AS BIGINT) AS tokens FROM lineitem GROUP BY 1)
-SELECT v.model, kind, CAST(rate AS DOUBLE) AS rate, coalesce(tokens, 0) AS tokens, round(CAST(rate AS DOUBLE) * coalesce(tokens, 0) / 1e6, 6) AS cost FROM (VALUES ('text-embedding-3-small', 'input', 0.02), ('text-embedding-3-small', 'output', 0.0), ('gpt-3.5-turbo', 'input', 0.5), ('gpt-3.5-turbo', 'output', 1.5), ('gpt-4', 'input', 30.0), ('gpt-4', 'output', 60.0)) AS v(model, kind, rate) LEFT JOIN u ON u.model = v.model""")
+SELECT v.model, kind, CAST(rate AS DOUBLE) AS rate, coalesce(tokens, 0) AS tokens, round(CAST(rate AS DOUBLE) * coalesce(tokens, 0) / 1e6, 9) AS cost FROM (VALUES ('text-embedding-3-small', 'input', 0.02), ('text-embedding-3-small', 'output', 0.0), ('gpt-3.5-turbo', 'input', 0.5), ('gpt-3.5-turbo', 'output', 1.5), ('gpt-4', 'input', 30.0), ('gpt-4', 'output', 60.0)) AS v(model, kind, rate) LEFT JOIN u ON u.model = v.model""")
 def price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of a million tokens, a row a model and kind, with the tokens that a log has of the model and what they would cost."""
     rows = spark.createDataFrame([(m, i * 1000, o * 1000) for m, (i, o) in stats.PRICES.items()], "model string, input double, output double")
     prices = rows.unpivot("model", ["input", "output"], "kind", "rate").withColumn("rate", F.round("rate", 6))
     used = table(spark, sf_dir, "lineitem").groupBy(pick("l_linenumber", ["gpt-4", "gpt-3.5-turbo", "unknown"]).alias("model")).agg(F.sum("l_partkey").alias("tokens"))
     tokens = F.coalesce("tokens", F.lit(0)).cast("long")
-    return prices.join(used, "model", "left").select("model", "kind", "rate", tokens.alias("tokens"), F.round(F.col("rate") * tokens / 1e6, 6).alias("cost"))
+    return prices.join(used, "model", "left").select("model", "kind", "rate", tokens.alias("tokens"), F.round(F.col("rate") * tokens / 1e6, 9).alias("cost"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS session, count(*) AS documents, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS cost, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS mean_cost FROM orders GROUP BY 1")

@@ -20,6 +20,8 @@ ASOF = "2024-01-31"
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(run: Query) -> Query:
+        if run.__name__ in QUERIES:
+            raise ValueError(f"there is a query {run.__name__} already")
         QUERIES[run.__name__] = run
         if sql:
             SQL[run.__name__] = sql

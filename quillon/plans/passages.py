@@ -130,7 +130,7 @@ def exhibit_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT p_partkey AS id, 'Ex. ' || p_size AS standard, 'Exhibit ' || p_size || ' (' || p_name || ')' AS formal, 'Ex. ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' at 3, ' || p_size ELSE '' END AS with_pages FROM part")
-def exhibit_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exhibit_citation_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("p_size").cast("string")
     pages = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(3).cast("long"), F.col("p_size").cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(passages.exhibit_citation(number, F.col("p_name"), pages, s).alias(s) for s in ("standard", "formal", "with_pages")))
