@@ -174,3 +174,55 @@ def filter_audit(failed):
             out[order, step] = (len(left), len(gone), earlier, sum(x[0] == {f} for x in failed), sum(x[1] for x in gone), sum(x[2] for x in gone))
             by_filter[f] += len(gone)
     return {k: (*v, by_filter[k[0][k[1] - 1]]) for k, v in out.items()}
+
+
+def suffix_tree(rows, p_symbol, p_context, p_pair, threshold):
+    """({doc_id: score}, kept contexts by length) of a suffix tree of contexts of any length, one dictionary a context."""
+    tokens = {i: [*SPACED.findall((t or "").translate(LOWER)), "\x00 end"] for i, t in rows}
+    train = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter(w for ws in train for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    own = {w for w, c in counts.items() if c >= max(2, n * p_symbol)}
+    root = {w: (counts[w] + 1) / (n + v + 1) for w in own}
+    root[None] = 1 - sum(root.values())
+    least_context, least_pair = max(4, n * p_context), max(2, n * p_pair)
+    texts = [[w if w in own else None for w in ws] for ws in train]
+    kept = {}
+
+    def state(history):
+        return next((history[-k:] for k in range(len(history), 0, -1) if history[-k:] in kept), ())
+
+    def gain(at, symbol):
+        weight = 1.0
+        while at:
+            known, other = kept[at]
+            if symbol in known:
+                return weight * known[symbol]
+            weight, at = weight * other, state(at[1:])
+        return weight
+
+    level = {(w,) for w in own if counts[w] >= least_context and w != "\x00 end"}
+    while level:
+        size, after = len(next(iter(level))), collections.defaultdict(collections.Counter)
+        for t in texts:
+            for k in range(size, len(t)):
+                if (c := tuple(t[k - size : k])) in level:
+                    after[c][t[k]] += 1
+        found = {}
+        for c, nexts in after.items():
+            total, kinds, below = sum(nexts.values()), len(nexts), state(c[1:])
+            often = {s: m for s, m in nexts.items() if m >= least_pair}
+            other = (kinds + total - sum(often.values())) / (total + kinds)
+            p = {s: m / (total + kinds) + other * gain(below, s) * root[s] for s, m in often.items()}
+            rest = max(1 - sum(p.values()), 1e-300)
+            divergence = sum(x * math.log(x / (gain(below, s) * root[s])) for s, x in p.items()) + rest * math.log(max(other, 1e-300))
+            if divergence >= threshold:
+                found[c] = ({s: x / root[s] for s, x in p.items()}, other)
+        kept |= found
+        level = {(*c, s) for c, nexts in after.items() for s, m in nexts.items() if m >= least_context and s not in (None, "\x00 end")} if found else set()
+    base = base_scores(rows)
+    scores = {}
+    for i, ws in tokens.items():
+        symbols = [w if w in own else None for w in ws]
+        scores[i] = base[i][4] + sum(math.log10(gain(state(tuple(symbols[max(0, k - 30) : k])), s)) for k, s in enumerate(symbols))
+    return scores, collections.Counter(map(len, kept))
