@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import in_blocks
+
 #: The template's control strings. A block is HEAD role NEXT_LINE text (TURN text)* END.
 HEAD, TURN, END = "<|role|>", "<|turn|>", "<|end|>"
 #: All control strings, ours and other templates', hold one of these characters; in texts and roles they are replaced, & first.
@@ -54,12 +56,13 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     segments = F.flatten(F.transform("turns", pieces))
     span = "array<struct<start:int,end:int>>"
 
-    def placed(a: Column, s: Column) -> Column:
+    def placed(a: Column, i: Column) -> Column:
+        s = F.element_at("segments", i)
         end = a["at"] + F.length(s["text"])
         here = F.array(F.struct(a["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["loss"], F.concat(a["out"], here)).otherwise(a["out"]).alias("out"))
+        return F.struct(end.alias("at"), a["k"].alias("k"), F.when(s["loss"], F.concat(a["out"], here)).otherwise(a["out"]).alias("out"))
 
-    mask = F.aggregate("segments", F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), placed, lambda a: a["out"])
+    mask = in_blocks(F.size("segments"), span, placed)
     return sorted_turns.select("conv_id", segments.alias("segments")).select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), mask.alias("loss_mask"))
 
 

@@ -64,3 +64,25 @@ def row_hash(text: Column) -> Column:
 def settled(df: DataFrame, *names: str) -> DataFrame:
     """df with the named columns computed once: no filter is pushed below the generator that makes them, and nothing above inlines them."""
     return df.select(*(c for c in df.columns if c not in names), F.inline_outer(F.array(F.struct(*names))))
+
+
+#: Steps of a fold that append to one array.
+BLOCK = 256
+
+
+def in_blocks(n: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The array that step(state, i) builds for i of 1 to n; the state is (at, k, out: array of kind), at and k start with 0.
+
+    The steps run in blocks, so that what is appended to stays short: time is linear in n up to millions, where one fold over all is quadratic.
+    """
+    state = lambda at, k, out: F.struct(at.alias("at"), k.alias("k"), out.alias("out"))
+    none = F.array().cast(kind)
+
+    def block(a: Column, b: Column) -> Column:
+        steps = F.sequence((b - 1) * BLOCK + 1, F.least(b * BLOCK, n))
+        inner = F.aggregate(steps, state(a["at"], a["k"], none), step)
+        return let(inner, lambda x: state(x["at"], x["k"], F.concat(a["out"], F.array(x["out"]))))
+
+    blocks = F.sequence(F.lit(1), F.ceil(n / BLOCK).cast("int"))
+    folded = F.aggregate(blocks, state(F.lit(0), F.lit(0), F.array().cast(f"array<{kind}>")), block, lambda a: F.flatten(a["out"]))
+    return F.when(n > 0, folded).otherwise(none)

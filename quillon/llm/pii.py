@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let, materialize, row_hash, settled
+from quillon.llm.common import in_blocks, let, materialize, row_hash, settled
 
 #: Kinds in the order in which spans of one start stand; "term" marks what the method adds.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -28,26 +28,6 @@ WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", r"[\x00-\x2F\x3A-\
 BROADCAST_TERMS = 200_000
 
 _SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-#: Steps of a fold that append to one array.
-BLOCK = 256
-
-
-def _in_blocks(n: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
-    """The array that step(state, i) builds for i of 1 to n; the state is (at, k, out: array of kind), at and k start with 0.
-
-    The steps run in blocks, so that what is appended to stays short: time is linear in n up to millions, where one fold over all is quadratic.
-    """
-    state = lambda at, k, out: F.struct(at.alias("at"), k.alias("k"), out.alias("out"))
-    none = F.array().cast(kind)
-
-    def block(a: Column, b: Column) -> Column:
-        steps = F.sequence((b - 1) * BLOCK + 1, F.least(b * BLOCK, n))
-        inner = F.aggregate(steps, state(a["at"], a["k"], none), step)
-        return let(inner, lambda x: state(x["at"], x["k"], F.concat(a["out"], F.array(x["out"]))))
-
-    blocks = F.sequence(F.lit(1), F.ceil(n / BLOCK).cast("int"))
-    folded = F.aggregate(blocks, state(F.lit(0), F.lit(0), F.array().cast(f"array<{kind}>")), block, lambda a: F.flatten(a["out"]))
-    return F.when(n > 0, folded).otherwise(none)
 
 
 def _placed(text: Column, pattern: str) -> Column:
@@ -62,7 +42,7 @@ def _placed(text: Column, pattern: str) -> Column:
             span = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(REACH)).alias("before"), F.left(F.element_at(gaps, i + 1), F.lit(REACH)).alias("after"))
             return F.struct(end.alias("at"), a["k"].alias("k"), F.concat(a["out"], F.array(span)).alias("out"))
 
-        return _in_blocks(F.size(found), _SPAN, step)
+        return in_blocks(F.size(found), _SPAN, step)
 
     none = F.array().cast(_SPAN)
     some = lambda f: F.when(F.size(f) > 0, let(F.split(text, pattern, -1), lambda g: walk(f, g))).otherwise(none)
@@ -138,7 +118,7 @@ def _word_spans(text: Column, wanted: Column) -> Column:
             span = F.struct(begin.alias("start"), F.lit(4).alias("rank"), end.alias("end"))
             return F.struct(end.alias("at"), (a["k"] + hit.cast("int")).alias("k"), F.when(hit, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-        return _in_blocks(F.size(words), "array<struct<start:int,rank:int,end:int>>", step)
+        return in_blocks(F.size(words), "array<struct<start:int,rank:int,end:int>>", step)
 
     return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: let(F.split(text, WORD, -1), lambda g: walk(w, g)))
 

@@ -107,7 +107,7 @@ def _state(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame, int]:
     base = _read(spark, f"{store}/totals", f"{DELTA}, version long").where(F.col("version") == version).drop("version")
     fresh = _read(spark, f"{store}/deltas", f"{DELTA}, batch_id string")
     taken = taken.where(F.col("version") == version).select("batch_id")
-    return base.unionByName(fresh.join(F.broadcast(taken), "batch_id", "left_anti").drop("batch_id")), taken, version
+    return base.unionByName(fresh.join(taken, "batch_id", "left_anti").drop("batch_id")), taken, version
 
 
 def compact(spark: SparkSession, store: str) -> None:

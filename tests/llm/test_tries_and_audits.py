@@ -176,3 +176,19 @@ def test_sample_is_bounded_and_leaves_held_out_labels_alone(spark, sf):
     turned = labels.withColumn("quality", F.when(classifier.is_held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     again, same, _ = classifier.sample(docs, turned, 10)
     assert texts == again and y.tolist() == same.tolist()
+
+
+def test_a_long_conversation_is_formatted_in_time_by_its_length(spark):
+    import time
+
+    from quillon.llm import chat
+
+    took = []
+    for n in (2_000, 16_000):
+        turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("said <"), F.col("id").cast("string")).alias("text"))
+        began = time.perf_counter()
+        row = chat.digest(chat.format_conversations(turns)).first()
+        took.append(time.perf_counter() - began)
+        expected = brute.conversation([(i, "user" if i % 2 == 0 else "assistant", f"said <{i}") for i in range(n)])
+        assert (row.n_turns, row.turns_sha256, row.loss_chars, row.loss_sha256) == expected
+    assert took[1] < 20 * max(took[0], 0.5)
