@@ -86,14 +86,10 @@ def inserted_cases(new: DataFrame, matters: DataFrame) -> tuple[DataFrame, DataF
     return good, new.join(known, "matter_id", "left_anti")
 
 
-def authority_overlap(authorities: DataFrame, motions: DataFrame) -> DataFrame:
-    """(motion_id, authority) for motions (motion_id, motion_type, words): every authority (authority) for arguments, for others those among their words.
-
-    Joined on the word, and for arguments with the authorities of the outline, which are few: the join is bounded by the outline's list.
-    """
-    named = motions.select("motion_id", F.explode(F.array_distinct("words")).alias("authority")).join(authorities, "authority", "left_semi")
-    arguing = motions.where(F.contains(F.lower("motion_type"), F.lit("argument"))).select("motion_id").join(F.broadcast(authorities.limit(1000)))
-    return named.unionByName(arguing.select("motion_id", "authority")).distinct()
+def authority_overlap(outlines: DataFrame, motions: DataFrame) -> DataFrame:
+    """(motion_id, authority) of outlines (motion_id, authority) that bear on the motion (motion_id, motion_type, content): all of an argument's, of others those that the content names."""
+    bears = F.contains(F.lower("motion_type"), F.lit("argument")) | F.contains(F.lower("content"), F.lower("authority"))
+    return outlines.join(motions, "motion_id").where(F.coalesce(bears, F.lit(False))).select("motion_id", "authority").distinct()
 
 
 def excerpts(content: Column, claim: Column, shared: int = 2, most: int = 3) -> Column:

@@ -54,8 +54,8 @@ def statute_rows(sections: DataFrame) -> DataFrame:
 
 
 def regulation_rows(sections: DataFrame, parts: DataFrame) -> DataFrame:
-    """Sections (part, section, content) with the title of their part from parts (part, title); parts are a list of a few hundred rows, which the limit holds."""
-    titles = F.broadcast(parts.select("part", F.col("title").alias("part_title")).limit(10_000))
+    """Sections (part, section, content) with the title of their part from parts (part, title), one row a part."""
+    titles = parts.select("part", F.col("title").alias("part_title"))
     named = F.concat(F.lit("49 CFR § "), F.concat_ws(".", F.col("part").cast("string"), F.col("section").cast("string")))
     return sections.join(titles, "part", "left").select(named.alias("identifier"), F.coalesce("part_title", F.lit("Unknown part")).alias("part_title"), "content", _preview(F.col("content")).alias("preview"))
 

@@ -151,8 +151,9 @@ def research_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def research_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results there are, and how many come from another case's store."""
     results, questions, stores = _searched(spark, sf_dir)
-    seen = results.agg(F.count(F.lit(1)).alias("results"), F.count_distinct("question_id").alias("questions"))
-    return seen.join(research.foreign(results, questions, stores).agg(F.count(F.lit(1)).alias("foreign_rows")))
+    results = kept(results, "results")
+    foreign = research.foreign(results, questions, stores).count()
+    return results.agg(F.count(F.lit(1)).alias("results"), F.count_distinct("question_id").alias("questions")).withColumn("foreign_rows", F.lit(foreign).cast("long"))
 
 
 # ---- dates, entities, layouts

@@ -148,12 +148,13 @@ def documents_in_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return junctions.join(cases, "case_id", "left_semi").orderBy("document_id").limit(25).select("document_id", "case_id")
 
 
-@query("WITH a AS (SELECT DISTINCT p_brand AS authority FROM part), m AS (SELECT o_orderkey AS motion_id, o_orderkey % 50 = 0 AS arguing, p_brand AS authority FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 5 = 0) SELECT DISTINCT motion_id, authority FROM m UNION SELECT DISTINCT o_orderkey, a.authority FROM orders, a WHERE o_orderkey % 50 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey)")
+@query("SELECT DISTINCT l_orderkey AS motion_id, p_brand AS authority FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0 OR contains(lower('see Brand#' || (o_custkey % 40) || ' and ' || o_orderpriority), lower(p_brand))")
 def authorities_of_motions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    words = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("motion_id")).agg(F.collect_set("p_brand").alias("words"))  # an order's rows
-    kinds = words.withColumn("motion_type", F.when(F.col("motion_id") % 50 == 0, "Argument of law").otherwise("motion"))
-    return searches.authority_overlap(part.select(F.col("p_brand").alias("authority")).distinct(), kinds)
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("authority"))
+    outlines = table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(F.col("l_orderkey").alias("motion_id"), "authority")
+    content = F.concat(F.lit("see Brand#"), (F.col("o_custkey") % 40).cast("string"), F.lit(" and "), "o_orderpriority")
+    kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("motion_id"), F.when(F.col("o_orderkey") % 10 == 0, "Argument of law").otherwise("motion").alias("motion_type"), content.alias("content"))
+    return searches.authority_overlap(outlines, kinds)
 
 
 @query("SELECT p_partkey AS id, 'The part ' || p_name || ' broke on the road|The brand ' || p_brand || ' of the part is known' AS excerpts FROM part")

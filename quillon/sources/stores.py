@@ -102,7 +102,7 @@ def delete(path: str, spark: SparkSession, schema: T.StructType, where: Column)
     gone = kept(gone, "store-gone")
     n = gone.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if n:
-        left = stored.join(F.broadcast(gone.select("store", "part").limit(1_000_000)), ["store", "part"]).where(~hit).select(*schema.names)
+        left = stored.join(gone.select("store", "part"), ["store", "part"]).where(~hit).select(*schema.names)
         # a part that is left empty keeps a row that no reader sees
         empty = gone.where("n = rows").select(*(F.col(f.name) if f.name in ("store", "part") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
         _write(kept(left.unionByName(empty), "store-parts"), path)
