@@ -15,7 +15,7 @@ TOPICS = {"negligence": ["negligence", "duty of care"], "damages": ["damages", "
 
 def sections(chapters: DataFrame) -> DataFrame:
     """(chapter, number, title, content) of chapters (chapter, content): a section begins at a line 'number title.—'."""
-    parts = F.slice(F.split("content", r"(?m)^(?=\d+\.\d+\s)"), 1, 100_000)
+    parts = F.split("content", r"(?m)^(?=\d+\.\d+\s)", -1)
     one = chapters.select("chapter", F.explode(parts).alias("part")).where(F.col("part").rlike(r"^\d+\.\d+\s"))
     return one.select("chapter", F.regexp_extract("part", r"^(\d+\.\d+)", 1).alias("number"), F.trim(F.regexp_extract("part", r"^\d+\.\d+\s+([^\n.]*)", 1)).alias("title"), F.regexp_replace("part", r"^[^\n]*\n?|\s+$", "").alias("content"))
 

@@ -163,6 +163,36 @@ def excerpts_of_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(searches.excerpts(content, F.lit("the part broke")), "|").alias("excerpts"))
 
 
+# ---- chapters
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's chapter: a heading and three sections that refer to others."""
+    n = F.col("s_suppkey").cast("string")
+    section = lambda k: F.concat(n, F.lit(f".{k} Duties of part {k}. Of drivers\nThe driver shall as § "), n, F.lit(f".{k + 1} says, and § 1.{k}, keep "), pick(f"s_suppkey + {k}", ["records of insurance", "the brakes"]), F.lit(".\n"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chapter"), F.concat(F.lit("CHAPTER\n"), *(section(k) for k in (1, 2, 3))).alias("content"))
+
+
+CHAPTERS_SQL = "c AS (SELECT s_suppkey AS chapter, k, s_suppkey || '.' || k AS number, 'The driver shall as § ' || s_suppkey || '.' || (k + 1) || ' says, and § 1.' || k || ', keep ' || ['records of insurance', 'the brakes'][CAST((s_suppkey + k) % 2 AS INTEGER) + 1] || '.' AS content FROM supplier, (VALUES (1), (2), (3)) v(k))"
+
+
+@query(f"WITH {CHAPTERS_SQL} SELECT chapter, number, 'Duties of part ' || k AS title, content FROM c")
+def chapter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters cut into sections at the lines that begin with a section's number."""
+    return statutes.sections(chapters(spark, sf_dir))
+
+
+@query(f"WITH {CHAPTERS_SQL} SELECT number, array_to_string(list_sort(list_distinct([chapter || '.' || (k + 1), '1.' || k])), '|') AS refs FROM c")
+def regulation_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sections refer to."""
+    return statutes.sections(chapters(spark, sf_dir)).select("number", F.array_join(statutes.references(F.col("content"), statutes.REGULATION_REFERENCE), "|").alias("refs"))
+
+
+@query(f"WITH {CHAPTERS_SQL} SELECT number, CASE WHEN contains(content, 'insurance') THEN 'insurance|motor_vehicles' ELSE 'motor_vehicles' END AS topics FROM c")
+def regulation_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statutes.sections(chapters(spark, sf_dir)).select("number", F.array_join(statutes.topics(F.col("content")), "|").alias("topics"))
+
+
 # ---- words and entities of texts
 
 
