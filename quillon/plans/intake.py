@@ -177,10 +177,10 @@ def research_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.gathered(_searched(spark, sf_dir)[0], None, once=False).select("question_id", "store", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN trim(text) <> '' THEN 64 END AS dimension, CASE WHEN trim(text) <> '' THEN 1.0::DOUBLE END AS length FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN trim(text) <> '' THEN 64 END AS dimension, CASE WHEN trim(text) <> '' THEN true END AS is_scaled FROM documents")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all texts by the default embedder, in batches; a blank text has none."""
+    """Vectors of all texts by the default embedder, in batches, of length 1, or 0 where a text's words cancel out; a blank text has none."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     embedded = models.embed(docs, "text", models.HashEmbedder(64))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return embedded.select("id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), F.round(length, 6).alias("length"))
+    return embedded.select("id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), F.round(length, 6).isin(0.0, 1.0).alias("is_scaled"))
