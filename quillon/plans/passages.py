@@ -195,15 +195,10 @@ HEADED = ["Smith v. Jones  Page 3", "plain top"]
 @query(rf"WITH {PAGES_SQL}, h AS (SELECT doc_id, page, {pick_sql('o_orderkey', HEADED)} || chr(10) || text AS text FROM pg) SELECT doc_id, page, regexp_matches(array_to_string(string_split(text, chr(10))[1:5], chr(10)), '(?m)^\s*\S+.*\s+Page\s+\d+') AS has_header, regexp_matches(array_to_string(string_split(text, chr(10))[-5:], chr(10)), '(?i)Page\s+\d+|©|\d{{4}}\s+\w+|Confidential') AS has_footer, false AS has_letterhead FROM h")
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers, footers and letterheads of pages of productions."""
-    pages = production_pages(spark, sf_dir).join(_headed(spark, sf_dir), ["doc_id", "page"]).withColumn("text", F.concat("head", F.lit("\n"), "text"))
+    pages = production_pages(spark, sf_dir, HEADED)  # head and text are of one row, so nothing is joined
     return pages.select("doc_id", "page", passages.has_header(F.col("text")).alias("has_header"), passages.has_footer(F.col("text")).alias("has_footer"), text.has_letterhead(F.col("text"), F.col("page")).alias("has_letterhead"))
 
 
-def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("page")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), page, pick("o_orderkey", HEADED).alias("head"))
-
-
 @query("SELECT vec_id AS id, list_max(list_transform(embedding, lambda x: abs(x))) <= 1 AS in_range, len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) <= 1 AND vec_id % 200 BETWEEN 1 AND 100 AS valid_search FROM embeddings")
 def vector_and_search_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors within [-1, 1], and searches whose vector and limit are valid."""
