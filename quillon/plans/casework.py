@@ -31,13 +31,19 @@ hard AS (SELECT doc_id, page, least(1.0, CASE WHEN sign IN (3, 5) THEN 0.4 ELSE
 soft AS (SELECT doc_id, page, CASE WHEN abs(density - was_density) > 0.3 THEN 0.2 ELSE 0 END + CASE WHEN was_number > 1 AND number = 1 THEN 0.4 ELSE 0 END AS confidence FROM w)"""
 
 
+#: Pages that one task numbers and reads: tables of any size come in as many tasks as this asks for, so a task's memory doesn't grow with them.
+PAGES_A_TASK = 25_000
+
+
 def production_pages(spark: SparkSession, sf_dir: str, heads: list[str] | None = None) -> DataFrame:
     """(doc_id, page, text), under a line of heads if there are any."""
     page = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("page")
     content = F.concat_ws("\n", pick("o_orderkey", SIGNS), F.repeat(F.lit("word "), (F.col("o_orderkey") % 5 * 150).cast("int")), F.concat(F.lit("Page "), (F.col("o_orderkey") % 3 + 1).cast("string"), F.lit(" of 9")), F.concat(F.lit("DEF"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")))
     if heads:
         content = F.concat(pick("o_orderkey", heads), F.lit("\n"), content)
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), page, content.alias("text"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    dealt = orders.repartition(orders.count() // PAGES_A_TASK + 1, "o_custkey")  # the count is in the files' footers
+    return dealt.select(F.col("o_custkey").alias("doc_id"), page, content.alias("text"))
 
 
 @query(f"WITH {PAGES_SQL} SELECT doc_id, page, round(confidence, 6) AS confidence FROM hard WHERE confidence > 0.5")
