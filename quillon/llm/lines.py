@@ -34,6 +34,8 @@ BROADCAST_ROWS = 1_000_000
 #: Lines of one bucket verified in one task; larger buckets are divided by a further pigeonhole.
 HOT_BUCKET = 5_000
 _CACHE_WORDS = 300_000
+#: Words of the lines whose keys are made at once: their arrays stay in the processor's cache, and a worker holds little.
+CHUNK_WORDS = 30_000
 #: Words of a line up to which its rarest pairs of words are keys, as many as an exact bound asks for. Longer lines take SAMPLES pairs by least
 #: hash (with the next one, if more than COMMON lines have it): where edits lie apart, lines of similarity 0.8 have 0.43 of their pairs in common
 #: and miss each other in 3 % of cases (0.57^6) or some more; of similarity 0.9, in 0.1 %. The exact bound would need a key for every two words.
@@ -433,7 +435,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[_C
                         seen.clear()
                     seen.add(h)
                     chunk.add(h, line, line.count(b" ") + 1)
-                    if chunk.held > 500_000:
+                    if chunk.held > CHUNK_WORDS:
                         yield chunk
                         chunk = _Chunk(similarity)
         if chunk.held:

@@ -3,9 +3,11 @@
 import shutil
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.llm import lines
 from quillon.plans import casework, passages  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
 
@@ -34,3 +36,25 @@ def test_bates_numbers_of_seven_digits(spark, long_keys):
 
 def test_page_furniture_joins_nothing(spark, sf):
     assert "Join" not in plan_of(QUERIES["page_furniture"](spark, sf))
+
+
+def test_lines_come_in_chunks_of_bounded_size():
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}x{k}" for k in range(50)) + "\n" for i in range(2_000)]})
+    chunks = list(lines._chunks(iter([texts]), lines.SIMILARITY))
+    assert sum(len(c.hashes) for c in chunks) == 2_000
+    assert max(c.held for c in chunks) <= lines.CHUNK_WORDS + 50
+    assert sorted(b for c in chunks for b in c.counted()[0].tolist()) == sorted(b for c in [_one_chunk(texts)] for b in c.counted()[0].tolist())
+
+
+def _one_chunk(texts):
+    chunk = lines._Chunk(lines.SIMILARITY)
+    for text in texts.column(0).to_pylist():
+        for _, line in lines.plain_lines(text.encode()):
+            chunk.add(lines._hash_of(line), line, line.count(b" ") + 1)
+    return chunk
+
+
+def test_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(casework, "PAGES_A_TASK", 100)
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert casework.production_pages(spark, sf).rdd.getNumPartitions() == n // 100 + 1
