@@ -76,25 +76,67 @@ def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
         yield held
 
 
+#: Scores that a task holds at once: points come in slices of so many for all held queries together.
+CELLS = 1 << 18
+
+
+class Best:
+    """The k best of each of n queries so far, by falling score to nine places, then by id; what can't enter is left out before anything is sorted."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.ids, self.scores, self.counts = np.zeros((n, k), np.int64), np.full((n, k), -np.inf), np.zeros(n, np.int64)
+
+    def slices(self, n: int) -> Iterator[slice]:
+        """Parts of n points whose scores are CELLS at most."""
+        width = max(1, CELLS // max(1, len(self.counts)))
+        return (slice(at, min(at + width, n)) for at in range(0, n, width))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each query and a column for each of ids; -inf is no match."""
+        least = np.where(self.counts == self.k, self.scores[:, -1] - 2e-9, -np.inf)
+        query, column = np.nonzero((scores > -np.inf) & (scores >= least[:, None]))
+        if not len(query):
+            return
+        some = np.unique(query)
+        held = np.arange(self.k) < self.counts[some][:, None]
+        owner = np.concatenate((np.repeat(some, self.counts[some]), query))
+        names, values = np.concatenate((self.ids[some][held], ids[column])), np.concatenate((self.scores[some][held], scores[query, column]))
+        order = np.lexsort((names, -np.round(values, 9), owner))
+        owner, names, values = owner[order], names[order], values[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        first = place < self.k
+        self.ids[owner[first], place[first]], self.scores[owner[first], place[first]] = names[first], values[first]
+        self.counts[some] = np.minimum(self.k, np.bincount(owner, minlength=len(self.counts))[some])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's number, id, score)."""
+        held = np.arange(self.k) < self.counts[:, None]
+        return np.repeat(np.arange(len(self.counts)), self.counts), self.ids[held], self.scores[held]
+
+
+def matrix(rows: pa.Array) -> np.ndarray:
+    """A list column whose lists are of one length as a matrix."""
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
 def _nearest(held: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: the k best points of a task for each query, by one product of matrices a batch."""
+    """For mapInArrow: the k best points of a task for each query, by one product of matrices a slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors_ = held.value
-        unit = vectors_ / np.maximum(np.linalg.norm(vectors_, axis=1, keepdims=True), 1e-300)
-        best_ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        unit, best = unit_rows(vectors_), Best(len(names), k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy()
-            rows = np.array(batch.column("vector").to_pylist(), np.float64)
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            best = np.concatenate((best, unit @ rows.T), axis=1)
-            best_ids = np.concatenate((best_ids, np.broadcast_to(ids, (len(names), len(ids)))), axis=1)
-            order = np.lexsort((best_ids, -np.round(best, 9)), axis=1)[:, :k]
-            best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
-        if best.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
+            for part in best.slices(batch.num_rows):
+                some = batch.slice(part.start, part.stop - part.start)
+                best.add(some.column("id").to_numpy(), unit @ unit_rows(matrix(some.column("vector"))).T)
+        query, ids, scores = best.rows()
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(scores)], names=["query_id", "id", "score"])
 
     return run
 
@@ -105,8 +147,8 @@ def tokens(content: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(text.STOP_WORDS))
 
 
-#: As many tokens' buckets a task remembers at most.
-REMEMBERED = 500_000
+#: As many tokens' buckets a task remembers at most: some 250 bytes each, in every worker of an executor. Texts encoded at once.
+REMEMBERED, TEXTS = 500_000, 256
 _WORD = re.compile(rb"[a-z0-9]{2,}")
 
 
@@ -117,8 +159,18 @@ def sparse_vectors(docs: DataFrame, dimension: int = hashing.SPARSE_DIMENSION) -
     Arrow batches: as expressions over the array of words the same took ten times as long. Null texts and texts without tokens have no rows.
     """
     schema = T.StructType([docs.schema["id"], T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())])
-    lowered = docs.select("id", F.lower(F.coalesce("content", F.lit(""))).cast("binary").alias("content"))
-    return lowered.mapInArrow(_encoder(dimension), schema)
+    return _lowered(docs.select("id", "content")).mapInArrow(_encoder(dimension, ["id"], False), schema)
+
+
+def sparse_lists(docs: DataFrame, dimension: int = hashing.SPARSE_DIMENSION) -> DataFrame:
+    """docs with sparse_vectors' vector of content in its place, as a list by bucket: keywords array<struct<bucket, weight>>, empty without tokens."""
+    entry = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())])
+    others = [f for f in docs.schema if f.name != "content"]
+    return _lowered(docs).mapInArrow(_encoder(dimension, [f.name for f in others], True), T.StructType([*others, T.StructField("keywords", T.ArrayType(entry))]))
+
+
+def _lowered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("content", F.lower(F.coalesce("content", F.lit(""))).cast("binary"))
 
 
 def encoded(content: bytes, bucket_of: Callable[[bytes], int]) -> dict[int, float]:
@@ -139,8 +191,8 @@ def encoded(content: bytes, bucket_of: Callable[[bytes], int]) -> dict[int, floa
 _STOPPED = [w.encode() for w in text.STOP_WORDS]
 
 
-def _encoder(dimension: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: the vectors of (id, content), some thousands of rows at a time."""
+def _encoder(dimension: int, others: list[str], lists: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the vectors of rows with content beside others, some hundreds of rows at a time; with lists one row a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @functools.lru_cache(maxsize=REMEMBERED)
@@ -148,13 +200,20 @@ def _encoder(dimension: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             return int.from_bytes(hashlib.sha256(token).digest(), "big") % dimension
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
                 vectors_ = [encoded(t, bucket_of) for t in some.column("content").to_pylist()]
-                ids = some.column("id").take(pa.array(np.repeat(np.arange(len(vectors_)), [len(v) for v in vectors_])))
+                if lists:
+                    vectors_ = [dict(sorted(v.items())) for v in vectors_]
                 buckets = pa.array([b for v in vectors_ for b in v], pa.int64())
                 weights = pa.array([w for v in vectors_ for w in v.values()], pa.float64())
-                yield pa.RecordBatch.from_arrays([ids, buckets, weights], names=["id", "bucket", "weight"])
+                sizes, kept = [len(v) for v in vectors_], [some.column(c) for c in others]
+                if lists:
+                    entries = pa.StructArray.from_arrays([buckets, weights], names=["bucket", "weight"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), entries)], names=[*others, "keywords"])
+                else:
+                    rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                    yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in kept), buckets, weights], names=[*others, "bucket", "weight"])
 
     return run
 

@@ -126,7 +126,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     questions = held.where("id % 100 = 0").select(F.col("id").alias("question_id"), "vector", F.concat(F.lit("case_"), (1 + hundred % 3).cast("string")).alias("case_name"), F.element_at(F.array(*(F.lit(r) for r in READS)), (hundred % 3 + 1).cast("int")).alias("reads"))
     asked = kept(research.routed(questions, stores), "asked")
     texts = corpus(spark, sf_dir)
-    stored = retrieval.sparse_vectors(texts.join(held.select("id"), "id", "left_semi")).join(held.select("id", "store"), "id")
+    stored = retrieval.sparse_lists(texts.join(held.select("id", "store"), "id").select("id", "store", "content"))
     words = retrieval.sparse_vectors(texts.join(asked.select(F.col("question_id").alias("id")), "id", "left_semi")).withColumnRenamed("id", "question_id")
     asked_words = asked.select("question_id", "store").join(words, "question_id")
     lists = {"dense": research.dense(held, asked), "sparse": research.sparse(stored, asked_words)}

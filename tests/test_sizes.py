@@ -1,13 +1,17 @@
 """What larger tables showed, on small ones."""
 
 import shutil
+import tracemalloc
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lines
+from quillon.operators import research, retrieval
 from quillon.plans import casework, passages  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
 
@@ -58,3 +62,44 @@ def test_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
     monkeypatch.setattr(casework, "PAGES_A_TASK", 100)
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
     assert casework.production_pages(spark, sf).rdd.getNumPartitions() == n // 100 + 1
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_searches_hold_little_whatever_is_asked():
+    r = np.random.default_rng(0)
+    asked = SimpleNamespace(value=(np.arange(4096), r.standard_normal((4096, 8))))
+    rows = pa.RecordBatch.from_pydict({"id": np.arange(10_000), "vector": r.standard_normal((10_000, 8)).tolist()})
+    assert peak_mb(lambda: list(retrieval._nearest(asked, 5)(iter([rows])))) < 200
+    by_store = SimpleNamespace(value={"a": asked.value})
+    assert peak_mb(lambda: list(research._nearest(by_store, 5)(iter([rows.append_column("store", pa.array(["a"] * 10_000))])))) < 200
+
+
+@pytest.mark.parametrize(("held", "products", "cells"), [(4096, 1 << 20, 1 << 20), (4, 5, 16)])
+def test_sparse_search_deals_no_pairs(spark, monkeypatch, held, products, cells):
+    monkeypatch.setattr(research, "HELD", held)
+    monkeypatch.setattr(research, "PRODUCTS", products)
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    r = np.random.default_rng(1)
+    vectors = {(s, i): {int(b): round(float(r.uniform(0.1, 1)), 1) for b in r.choice(30, int(r.integers(0, 5)), replace=False)} for s in "ab" for i in range(40)}
+    asked = {(q, s): {int(b): round(float(r.uniform(0.1, 1)), 1) for b in r.choice(30, 4, replace=False)} for q in range(7) for s in "abc" if (q + ord(s)) % 3}
+    stored = spark.createDataFrame([(s, i, [(b, w) for b, w in v.items()]) for (s, i), v in vectors.items()], "store string, id long, keywords array<struct<bucket: long, weight: double>>").repartition(3)
+    rows = spark.createDataFrame([(q, s, b, w) for (q, s), v in asked.items() for b, w in v.items()], "question_id long, store string, bucket long, weight double")
+    found = research.sparse(stored, rows, 3)
+    got = {}
+    for x in sorted(found.collect(), key=lambda x: x["rank"]):
+        got.setdefault((x.question_id, x.store), []).append((x.id, round(x.score, 9)))
+    wanted = {}
+    for (q, s), v in asked.items():
+        scores = sorted((-round(sum(w * v[b] for b, w in vectors[t, i].items() if b in v), 9), i) for t, i in vectors if t == s and v.keys() & vectors[t, i].keys())
+        if scores:
+            wanted[q, s] = [(i, -n) for n, i in scores[:3]]
+    assert got == wanted
+    assert "Aggregate" not in plan_of(found)
