@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import legal, text
+from quillon.operators.retrieval import Best
 
 
 def exhibit_index(docs: DataFrame) -> DataFrame:
@@ -45,29 +46,32 @@ POINTS = 4096
 def shared_words(points: DataFrame, facts: DataFrame, k: int = 5, longer_than: int = 4, most_documents: int | None = None) -> DataFrame:
     """(point_id, fact_id, shared): the k facts that share most words of some length with each point, ties by id; facts without a shared word are absent.
 
-    points are a stated set: they are held by the tasks, POINTS at a time, as lists of points by word, so that a word that all facts hold makes
-    no rows under one key; a task passes on k rows a point. Words that more than most_documents facts hold can be left out.
+    points are a stated set: their different sets of words are held by the tasks, POINTS at a time, as lists by word, so that a word that all
+    facts hold makes no rows under one key; a task passes on k rows a set. Facts of one set of words share as much with any point, so only the
+    k least ids of a set in a batch are compared. Words that more than most_documents facts hold can be left out.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > longer_than))
-    asked = points.select("point_id", words(F.col("content")).alias("words"))
+    key = F.array_join(F.array_sort("words"), " ").alias("words")
+    asked = points.select("point_id", words(F.col("content")).alias("words")).select("point_id", key)
     held = facts.select("fact_id", words(F.col("content")).alias("words"))
     if most_documents is not None:
         common = held.select("fact_id", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_documents).select("word")
         held = held.select("fact_id", F.explode("words").alias("word")).join(common, "word", "left_semi").groupBy("fact_id").agg(F.collect_list("word").alias("words"))
-    schema = T.StructType([points.schema["point_id"], facts.schema["fact_id"], T.StructField("shared", T.LongType())])
+    held = held.select("fact_id", key)
+    schema = T.StructType([T.StructField("words", T.StringType()), facts.schema["fact_id"], T.StructField("shared", T.LongType())])
     out = None
-    for block in _blocks(asked):
+    for block in _blocks(asked.where("words <> ''").select("words").distinct()):
         by_word: dict[str, list[int]] = {}
         for i, r in enumerate(block):
-            for w in r.words:
+            for w in r.words.split(" "):
                 by_word.setdefault(w, []).append(i)
         lists = {w: np.array(v) for w, v in by_word.items()}
-        part = held.mapInArrow(_most_shared(points.sparkSession.sparkContext.broadcast((np.array([r.point_id for r in block]), lists)), k), schema)
+        part = held.mapInArrow(_most_shared(points.sparkSession.sparkContext.broadcast(([r.words for r in block], lists)), k), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return points.sparkSession.createDataFrame([], schema)
-    nth = F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc("shared"), "fact_id"))
-    return out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+        return points.sparkSession.createDataFrame([], T.StructType([points.schema["point_id"], *schema.fields[1:]]))
+    nth = F.row_number().over(Window.partitionBy("words").orderBy(F.desc("shared"), "fact_id"))
+    return asked.join(out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), "words").drop("words")
 
 
 def _blocks(asked: DataFrame) -> Iterator[list[Row]]:
@@ -83,25 +87,32 @@ def _blocks(asked: DataFrame) -> Iterator[list[Row]]:
 
 
 def _most_shared(held: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: the k facts of a task that share most words with each held point."""
+    """For mapInArrow: the k facts of a task that share most words with each held set of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lists = held.value
-        best = [np.zeros((len(names), 0), np.int64) for _ in range(2)]
+        best = Best(len(names), k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids, counts = some.column("fact_id").to_numpy(), np.zeros((len(names), some.num_rows), np.int64)
-                for j, words in enumerate(some.column("words").to_pylist()):
-                    met = [lists[w] for w in words or () if w in lists]
+            coded = batch.column("words").dictionary_encode()
+            code, ids = coded.indices.to_numpy(), batch.column("fact_id").to_numpy()
+            order = np.lexsort((ids, code))
+            code, ids = code[order], ids[order]
+            few = np.arange(len(code)) - np.searchsorted(code, code) < k
+            code, ids, sets = code[few], ids[few], coded.dictionary.to_pylist()
+            for part in best.slices(len(sets)):
+                counts = np.full((len(names), part.stop - part.start), -np.inf)
+                for j, words in enumerate(sets[part]):
+                    met = [lists[w] for w in words.split(" ") if w in lists]
                     if met:
-                        counts[:, j] = np.bincount(np.concatenate(met), minlength=len(names))
-                shared, owners = np.concatenate((best[0], counts), axis=1), np.concatenate((best[1], np.broadcast_to(ids, counts.shape)), axis=1)
-                order = np.lexsort((owners, -shared), axis=1)[:, :k]
-                best = [np.take_along_axis(shared, order, 1), np.take_along_axis(owners, order, 1)]
-        if best[0].size:
-            keep = (best[0] > 0).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best[0].shape[1])[keep]), pa.array(best[1].ravel()[keep]), pa.array(best[0].ravel()[keep])], names=["point_id", "fact_id", "shared"])
+                        n = np.bincount(np.concatenate(met), minlength=len(names))
+                        counts[n > 0, j] = n[n > 0]
+                mine = slice(*np.searchsorted(code, (part.start, part.stop)))
+                for some in best.slices(mine.stop - mine.start):
+                    at = slice(mine.start + some.start, mine.start + some.stop)
+                    best.add(ids[at], counts[:, code[at] - part.start])
+        query, ids, shared = best.rows()
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query]), pa.array(ids), pa.array(shared.astype(np.int64))], names=["words", "fact_id", "shared"])
 
     return run
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lines
-from quillon.operators import research, retrieval
+from quillon.operators import evidence, research, retrieval
 from quillon.plans import casework, passages  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
 
@@ -103,3 +103,22 @@ def test_sparse_search_deals_no_pairs(spark, monkeypatch, held, products, cells)
             wanted[q, s] = [(i, -n) for n, i in scores[:3]]
     assert got == wanted
     assert "Aggregate" not in plan_of(found)
+
+
+def test_facts_of_one_set_of_words_are_compared_once():
+    names, lists = ["alpha gamma"], {"alpha": np.array([0]), "gamma": np.array([0])}
+    rows = pa.RecordBatch.from_pydict({"fact_id": list(range(20_000, 0, -1)), "words": ["alpha gamma delta", "beta", "alpha"] * 6_666 + ["gamma", "alpha gamma"]})
+    widths = []
+
+    class Watched(retrieval.Best):
+        def add(self, ids, scores):
+            widths.append(len(ids))
+            super().add(ids, scores)
+
+    evidence.Best, was = Watched, evidence.Best
+    try:
+        (found,) = evidence._most_shared(SimpleNamespace(value=(names, lists)), 3)(iter([rows]))
+    finally:
+        evidence.Best = was
+    assert sum(widths) <= 5 * 3
+    assert list(zip(found["fact_id"].to_pylist(), found["shared"].to_pylist(), strict=True)) == [(1, 2), (5, 2), (8, 2)]
