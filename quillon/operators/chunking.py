@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,8 @@ class Sizes(NamedTuple):
     least: int = 500
 
 
+#: Texts that are cut at once: their chunks are all that a worker holds beside its batch.
+TEXTS = 64
 _BREAKS = [re.compile(r"\n\s*\n"), re.compile(r"[.!?]+\s+"), re.compile(r"\s+")]
 
 
@@ -63,18 +65,21 @@ def chunk_documents(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     cleaned = docs.select("doc_id", text.clean_text(F.col("text")).alias("content")).where(F.length("content") >= sizes.least)
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.IntegerType()) for c in ("chunk_index", "start_char", "end_char", "total_chunks")), T.StructField("content", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                spans = cut(content, sizes)
-                rows += [(doc_id, k, a, b, len(spans), content[a:b].strip()) for k, (a, b) in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=schema.names)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                rows = []
+                for r, content in enumerate(some.column("content").to_pylist()):
+                    spans = cut(content, sizes)
+                    rows += [(r, k, a, b, len(spans), content[a:b].strip()) for k, (a, b) in enumerate(spans)]
+                owners, *numbers, contents = zip(*rows, strict=True) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(owners, pa.int64())), *(pa.array(n, pa.int32()) for n in numbers), pa.array(contents, pa.string())], names=schema.names)
 
-    return cleaned.mapInPandas(run, schema)
+    return cleaned.mapInArrow(run, schema)
 
 
-def fixed_pages(docs: DataFrame, size: int = 3000) -> DataFrame:
-    """(doc_id, page, text): pages of so many characters, from 1."""
+def fixed_pages(docs: DataFrame, size: int = 3000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, page, text, and the columns to keep): pages of so many characters, from 1."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size))
-    return docs.where(F.length("text") > 0).select("doc_id", "text", F.posexplode(starts).alias("k", "start")).select("doc_id", (F.col("k") + 1).alias("page"), F.substring("text", F.col("start") + 1, F.lit(size)).alias("text"))
+    return docs.where(F.length("text") > 0).select("doc_id", "text", *keep, F.posexplode(starts).alias("k", "start")).select("doc_id", (F.col("k") + 1).alias("page"), F.substring("text", F.col("start") + 1, F.lit(size)).alias("text"), *keep)
