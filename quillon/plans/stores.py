@@ -10,13 +10,13 @@ from quillon.functions import hashing
 from quillon.operators import chunking, dedup, retrieval, sinks
 from quillon.plans.catalog import TOKENS_SQL, corpus, points, query, table
 from quillon.sources import stores
-from quillon.sources.shared import new_folder
+from quillon.sources.shared import kept, new_folder
 
 
 def _stored_chunks(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
     """Pages of all documents, a tenth of them revised: the revision comes first, then the first version late, then the revision again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    pages = chunking.fixed_pages(docs.select("doc_id", "text")).join(docs.select("doc_id", "lang"), "doc_id")
+    pages = chunking.fixed_pages(docs, keep=("lang",))
     kind = F.create_map(F.lit("document_type"), F.when(F.col("doc_id") % 2 == 0, "motion"), F.lit("language"), F.col("lang"))
     given = pages.select(F.col("lang").alias("store"), F.col("doc_id").alias("document_id"), (F.col("page") - 1).alias("chunk_index"), F.col("text").alias("content"), kind.alias("metadata"))
     first = sinks.chunk_rows(given.withColumn("version", F.lit(1)))
@@ -90,10 +90,11 @@ def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH tok AS ({TOKENS_SQL}), n AS (SELECT id, count(DISTINCT token) AS n FROM tok GROUP BY id) SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS semantic, len(embedding) AS legal_concepts, coalesce(n, 0) > 0 AS has_keywords FROM embeddings JOIN documents ON doc_id = vec_id LEFT JOIN n ON n.id = vec_id")
 def stored_hybrid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with two dense vectors and a sparse one in one row."""
-    words = retrieval.sparse_vectors(corpus(spark, sf_dir)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("keywords"))  # a document's own
-    both = points(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi").join(words, "id", "left")
+    vectors = points(spark, sf_dir)
+    words = retrieval.sparse_lists(corpus(spark, sf_dir).select("id", "content").join(vectors.select("id"), "id", "left_semi"))
+    both = vectors.join(words, "id")
     rows = both.select(F.lit("hybrid").alias("store"), F.col("id").cast("string").alias("id"), F.lit(1).alias("version"), F.col("vector").alias("semantic"), F.transform("vector", lambda x: -x).alias("legal_concepts"), "keywords")
-    path = new_folder(spark, "store")
+    path, rows = new_folder(spark, "store"), kept(rows, "hybrid")
     for _ in range(2):
         stores.upsert(path, rows)
     return stores.read(spark, path, rows.schema).select("id", F.size("semantic").cast("long").alias("semantic"), F.size("legal_concepts").cast("long").alias("legal_concepts"), (F.coalesce(F.size("keywords"), F.lit(0)) > 0).alias("has_keywords"))

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from quillon.sources.shared import kept
 
-#: Parts of a store; touched parts up to which their folders are named in the read.
-PARTS, NAMED = 8, 2000
+#: Parts of a store; touched parts up to which their folders are named in the read; tasks that write a part, each one file.
+PARTS, NAMED, FILES = 8, 2000, 4
 # Names of a case's own stores, and what metadata can't overwrite.
 CASE_STORES = ["", "_facts", "_timeline", "_depositions"]
 RESERVED = ["folder_name", "document_id", "content", "case_name"]
@@ -60,20 +60,19 @@ def upsert(path: str, rows: DataFrame, parts: int = PARTS) -> None:
     """Write rows (store, id, version, ...): of each (store, id) the row of the highest version stays, in the batch and with what is stored.
 
     Sending a batch again changes nothing, and batches may come in any order. Rows of one version that differ count by their largest values. A
-    null store or id is refused. Only touched parts are read and written, by a table in the shared folder between.
+    null store or id is refused. Only touched parts are read and written, and their rows are dealt once.
     """
     spark, schema = rows.sparkSession, _schema(rows)
     batch = kept(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).select(*schema.names), "store-batch")
     if not batch.where("store is null or id is null or version is null").isEmpty():
         raise ValueError("rows need a store, an id and a version")
     stored = _touched(_read(spark, path, schema), batch)
-    merged = _latest(batch if stored is None else stored.select(*schema.names).unionByName(batch), schema)
-    _write(merged if stored is None else kept(merged, "store-parts"), path)
+    _write(_latest(batch if stored is None else stored.select(*schema.names).unionByName(batch), schema), path)
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Replace the parts that rows have and no others."""
-    rows.repartition("store", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store", "part").parquet(path)
+    """Replace the parts that rows have and no others. rows may be read from these parts: the new files lie apart until all are written."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store", "part").parquet(path)
 
 
 def _touched(stored: DataFrame, batch: DataFrame) -> DataFrame | None:
@@ -90,7 +89,8 @@ def _latest(both: DataFrame, schema: T.StructType) -> DataFrame:
     """One row for each (store, id). Maps can't be compared, so they don't break ties of versions."""
     others = [f.name for f in schema if f.name not in ("store", "id", "part", "version") and not isinstance(f.dataType, T.MapType)]
     values = [c for c in schema.names if c not in ("store", "id", "part")]
-    best = both.groupBy("store", "part", "id").agg(F.max_by(F.struct(*values), F.struct("version", *others)).alias("row"))
+    dealt = both.withColumn("__file", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FILES))).repartition("store", "part", "__file")
+    best = dealt.groupBy("store", "part", "__file", "id").agg(F.max_by(F.struct(*values), F.struct("version", *others)).alias("row"))
     return best.select(*(F.col(c) if c in ("store", "id", "part") else F.col(f"row.{c}").alias(c) for c in schema.names))
 
 
@@ -105,7 +105,7 @@ def delete(path: str, spark: SparkSession, schema: T.StructType, where: Column)
         left = stored.join(gone.select("store", "part"), ["store", "part"]).where(~hit).select(*schema.names)
         # a part that is left empty keeps a row that no reader sees
         empty = gone.where("n = rows").select(*(F.col(f.name) if f.name in ("store", "part") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
-        _write(kept(left.unionByName(empty), "store-parts"), path)
+        _write(left.unionByName(empty), path)
     return n
 
 
