@@ -33,7 +33,7 @@ def structure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reads like volume and page in the pages of productions."""
     pages = production_pages(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("page")).alias("doc_id"), "text")
-    return structure.structure_spans(pages).where("kind = 'citation'").select("doc_id", F.col("content").alias("citation"))
+    return structure.citations(pages).select("doc_id", F.col("content").alias("citation"))
 
 
 @query()
