@@ -6,7 +6,11 @@ one that counts, so an upsert or a delete writes one small segment and rewrites
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +30,41 @@ def write(path: str, segment: int, vectors: DataFrame, ids: DataFrame, shards: i
     names = ids.select("id").distinct()
     lists = max(1, -(-names.count() // LIST))
     dealt = vectors.select("id", "bucket", "weight", F.pmod(F.xxhash64("id"), F.lit(lists)).cast("int").alias("list"))
-    place = F.row_number().over(Window.partitionBy("bucket", "list").orderBy(F.desc("weight"), "id")) - 1
-    blocks = dealt.withColumn("block", F.floor(place / BLOCK).cast("int")).groupBy("bucket", "list", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id"))).alias("p"))
-    shown = blocks.select("bucket", "list", "block", (-F.col("p")[0]["w"]).alias("top"), F.col("p.id").alias("ids"), F.transform("p.w", lambda w: -w).alias("weights"), _shard(F.col("bucket"), shards).alias("shard"))
-    ordered = shown.repartition("shard", "list").sortWithinPartitions("shard", "bucket", "list", "block")
-    ordered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
+    ordered = dealt.withColumn("shard", _shard(F.col("bucket"), shards)).repartition("shard", "list").sortWithinPartitions("shard", "bucket", "list", F.desc("weight"), "id")
+    id_type = vectors.schema["id"].dataType.simpleString()
+    blocks = ordered.select("bucket", "list", "id", "weight").mapInArrow(_in_blocks, _PARTS["postings"].format(id=id_type))
+    shown = blocks.withColumn("shard", _shard(F.col("bucket"), shards)).sortWithinPartitions("shard", "bucket", "list", "block")
+    shown.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
     names.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: rows (bucket, list, id, weight) that are sorted by falling weight within each list become blocks; the last one waits for the next batch."""
+    rest, number = None, 0
+
+    def cut(rows: pa.Table, first: int, last: bool) -> tuple[pa.RecordBatch, pa.Table, int]:
+        bucket, lists = (rows.column(c).to_numpy() for c in ("bucket", "list"))
+        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (lists[1:] != lists[:-1])))
+        place = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        begins = np.flatnonzero(place % BLOCK == 0)
+        block = place[begins] // BLOCK + np.where(np.cumsum(new)[begins] == 1, first, 0)
+        done = len(begins) if last else len(begins) - 1
+        stop = len(new) if last else begins[-1]
+        ends, some = pa.array(np.append(begins[:done], stop), pa.int32()), rows.slice(0, stop)
+        ids, weights = (some.column(c).combine_chunks() for c in ("id", "weight"))
+        begins = begins[:done]
+        arrays = [pa.array(bucket[begins]), pa.array(lists[begins], pa.int32()), pa.array(block[:done], pa.int32()), weights.take(pa.array(begins)), pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, weights)]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "list", "block", "top", "ids", "weights"]), rows.slice(stop), int(block[-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            made, rest, number = cut(rows if rest is None else pa.concat_tables([rest, rows]), number, False)
+            yield made
+    if rest is not None:
+        yield cut(rest, number, True)[0]
+
+
 def _shard(bucket: Column, shards: int) -> Column:
     return F.pmod(bucket, F.lit(shards)).cast("int")
 

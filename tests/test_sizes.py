@@ -2,6 +2,7 @@
 
 import shutil
 import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
 
 import duckdb
@@ -11,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lines
-from quillon.operators import evidence, research, retrieval
+from quillon.operators import evidence, postings, research, retrieval, structure
 from quillon.plans import casework, passages  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
+from quillon.sources import stores
+from quillon.sources.shared import shared_dir
 
 
 def plan_of(frame):
@@ -122,3 +125,39 @@ def test_facts_of_one_set_of_words_are_compared_once():
         evidence.Best = was
     assert sum(widths) <= 5 * 3
     assert list(zip(found["fact_id"].to_pylist(), found["shared"].to_pylist(), strict=True)) == [(1, 2), (5, 2), (8, 2)]
+
+
+def test_chunks_are_made_some_texts_at_a_time(spark, sf):
+    assert "MapInPandas" not in plan_of(QUERIES["chunk_documents"](spark, sf))
+
+
+def test_citations_are_those_of_all_spans(spark):
+    texts = ["12 F. 2 3 and x12 F. 3", "1 US 2 3 US 4", "see 410 U.S. 113, a v. b", "a1 b 2 3", "7  F.  8d  9", "", None, "no 12\n34. 56", "é5 ü 6 7_8 9 10"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = structure.structure_spans(docs).where("kind = 'citation'")
+    assert sorted(structure.citations(docs).collect()) == sorted(wanted.collect())
+    for text in filter(None, texts):
+        if "v." not in text:
+            assert [m.span() for m in structure.NUMBERED.finditer(text)] == [m.span() for m in structure.CITATION.finditer(text)]
+
+
+def test_upserts_and_deletes_copy_no_parts(spark, tmp_path):
+    def copies():
+        return set(Path(shared_dir(spark).removeprefix("file://")).glob("store-parts-*"))
+
+    before, path = copies(), f"{tmp_path}/store"
+    rows = spark.range(40).select(F.lit("a").alias("store"), F.col("id").cast("string").alias("id"), F.lit(1).alias("version"), (F.col("id") * 2).alias("value"))
+    stores.upsert(path, rows)
+    stores.upsert(path, rows.where("value < 20").withColumn("version", F.lit(2)).withColumn("value", F.lit(-1).cast("long")))
+    assert stores.delete(path, spark, stores._schema(rows), F.col("value") > 60) == 9
+    assert sorted(r.value for r in stores.read(spark, path, stores._schema(rows)).collect()) == [-1] * 10 + list(range(20, 61, 2))
+    assert copies() == before
+
+
+def test_blocks_go_on_over_batches(monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 3)
+    rows = [(b, 0, 10 * b + i, 1.0 / (i + 1)) for b, n in ((1, 7), (2, 1), (5, 3)) for i in range(n)]
+    for size in (1, 2, 5, 20):
+        batches = [pa.RecordBatch.from_pydict({c: [r[k] for r in rows[at : at + size]] for k, c in enumerate(("bucket", "list", "id", "weight"))}, schema=pa.schema({"bucket": pa.int64(), "list": pa.int32(), "id": pa.int64(), "weight": pa.float64()})) for at in range(0, len(rows), size)]
+        got = [(r["bucket"], r["block"], r["ids"], r["top"]) for b in postings._in_blocks(iter(batches)) for r in b.to_pylist()]
+        assert got == [(1, 0, [10, 11, 12], 1.0), (1, 1, [13, 14, 15], 0.25), (1, 2, [16], 1 / 7), (2, 0, [20], 1.0), (5, 0, [50, 51, 52], 1.0)]
