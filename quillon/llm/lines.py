@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from quillon.llm.simhash import BITS, bucket_edges, differing
 LEAST_WORDS = 1
 #: A character of a script without spaces (Thai, Lao, Myanmar, Khmer, kana, Chinese) in UTF-8: each is a word.
 UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xaf][\x80-\xbf]{2}")
-_WIDE = re.compile(rb"[\xe0-\xf0]")
+_WIDE = bytes((0xE0, 0xE1, *range(0xE3, 0xEA), 0xF0))  # what these begin with
 #: Differing SimHash bits up to which two lines are compared, and the edit similarity at which they are linked.
 DISTANCE, SIMILARITY = 3, 0.8
 #: Lines of a bucket on the mean, beyond which keys take more blocks.
@@ -40,9 +41,10 @@ CHUNK_WORDS = 30_000
 #: hash (with the next one, if more than COMMON lines have it): where edits lie apart, lines of similarity 0.8 have 0.43 of their pairs in common
 #: and miss each other in 3 % of cases (0.57^6) or some more; of similarity 0.9, in 0.1 %. The exact bound would need a key for every two words.
 SHORT, SAMPLES, COMMON = 20, 6, 200
-#: Frequent keys whose counts in a part of the documents (one of PART) make the broadcast table of ranks, so that a line's rare ones are taken
-#: first. Any order gives the same links; the better it is, the smaller are the buckets. The table has SLOTS entries; keys of one slot share a rank.
-RANKED, PART, SLOTS = 400_000, 16, 1 << 22
+#: Keys of all documents are counted by slot; slots with a RANKEDth of all or more, RANKED at most, get a rank in the broadcast table, so that a
+#: line's rare keys are taken first. Any order gives the same links; the better it is, the smaller are the buckets. Keys of one slot share a rank:
+#: what others add to a key's count is a tenth (RANKED / SLOTS) of the least that is ranked on the mean, whatever the size of the corpus.
+RANKED, SLOTS, SLOT_PARTS = 400_000, 1 << 22, 64
 #: Estimated lines of a key beyond which lines meet under it and a second key.
 OFTEN = 2_000
 #: Lines of one bucket compared in one task; larger buckets are compared block against block.
@@ -73,12 +75,11 @@ def plain_lines(text: bytes | None) -> list[tuple[int, bytes]]:
     if not text:
         return []
     lowered = text.lower().translate(_BLANKS)
-    if _WIDE.search(lowered):
+    if not lowered.isascii() and len(lowered.translate(None, _WIDE)) < len(lowered):
         lowered = UNSPACED.sub(rb" \g<0> ", lowered)
     while b"  " in lowered:
         lowered = lowered.replace(b"  ", b" ")
-    lowered = lowered.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ")
-    return [(k, line) for k, line in enumerate(lowered.split(b"\n")) if line and line.count(b" ") + 1 >= LEAST_WORDS]
+    return [(k, line) for k, padded in enumerate(lowered.split(b"\n")) if (line := padded.strip(b" ")) and (LEAST_WORDS < 2 or line.count(b" ") + 1 >= LEAST_WORDS)]
 
 
 def normal_lines(text: bytes | None) -> list[tuple[int, list[bytes]]]:
@@ -198,18 +199,30 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
 
 
 class _Words:
-    """A line's words and how often it has each, for comparisons with several others."""
+    """A line's words for comparisons with several others."""
 
     def __init__(self, line: str) -> None:
         self.words = line.split(" ")
-        self.counts = Counter(self.words)
+
+    @cached_property
+    def counted(self) -> set[str | tuple[str, int]]:
+        """The words as a set that has a word's repeats with their numbers."""
+        out: set[str | tuple[str, int]] = set(self.words)
+        if len(out) < len(self.words):
+            out.update([(w, k) for w, n in Counter(self.words).items() if n > 1 for k in range(1, n)])
+        return out
 
     def similar(self, other: _Words, similarity: float) -> bool:
-        longer = max(len(self.words), len(other.words))
-        most = int((1 - similarity) * longer + 1e-9)
-        if longer - (self.counts & other.counts).total() > most:  # so many words have no partner
+        less, more = (self, other) if len(self.words) <= len(other.words) else (other, self)
+        a, b = less.words, more.words
+        most = int((1 - similarity) * len(b) + 1e-9)
+        if len(b) - len(a) > most:
+            return False
+        if len(a) == len(b) and sum(map(ne, a, b)) <= most:
+            return True
+        if len(more.counted - less.counted) > most:  # so many words have no partner
             return False
-        return edit_distance(self.words, other.words, most) <= most
+        return edit_distance(a, b, most) <= most
 
 
 def similar(a: str, b: str, similarity: float) -> bool:
@@ -329,6 +342,10 @@ class _Chunk:
         left, right = h[at], h[at + 1]
         return owner[at], (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(7)) ^ right
 
+    def slots(self) -> np.ndarray:
+        """The slot of each pair, once for each time that a line has it."""
+        return (self._pairs()[1] & np.uint64(SLOTS - 1)).astype(np.int64)
+
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The keys and their numbers of lines."""
         line, key = self._pairs()
@@ -357,7 +374,7 @@ class _Chunk:
             mixed = key ^ m
             least = np.minimum.reduceat(mixed, starts)
             one = least ^ m
-            common = np.flatnonzero((np.exp2(ranks[(one & np.uint64(SLOTS - 1)).astype(np.int64)] / _STEP) - 1) * PART > COMMON)
+            common = np.flatnonzero(np.exp2(ranks[(one & np.uint64(SLOTS - 1)).astype(np.int64)] / _STEP) - 1 > COMMON)
             if len(common):
                 n = sizes[common]
                 begin = np.cumsum(n) - n
@@ -385,7 +402,7 @@ class _Chunk:
         start, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
         limit = np.array([lost(n, self.similarity, 2) for n in range(SHORT + 1)])[self.n[line]]
         at = np.flatnonzero(np.arange(len(line)) - start <= limit)
-        count = (np.exp2(rank[at] / _STEP) - 1) * PART
+        count = np.exp2(rank[at] / _STEP) - 1
         hot = count > often
         # under a second key
         first = at[hot]
@@ -443,21 +460,46 @@ def _chunks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[_C
 
 
 def rank_table(docs: DataFrame, similarity: float) -> np.ndarray:
-    """The rank of each slot of keys: a logarithm of the lines of the most frequent ones, RANKED at most, in a part of docs (key, text); 0 is rare."""
+    """The rank of each slot of keys: a logarithm of how many pairs of words of docs (text) fall on it, for slots of many; 0 is rare.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task counts the slots of all its lines in one array and passes it on in SLOT_PARTS parts, a byte of the counts at a time; the driver gets one
+    array of SLOTS numbers, whatever the corpus.
+    """
+    width = SLOTS // SLOT_PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(SLOTS, np.uint32), [], 0
         for chunk in _chunks(batches, similarity):
-            keys, n = chunk.counted()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    counted = docs.where(F.pmod("key", F.lit(PART)) == 0).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    often = materialize(counted.where("n > 1"), "ranks")
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = often.where(F.col("n") >= max(2, -(-total // RANKED))).toArrow()  # RANKED rows at most, as their counts sum up to no more than total
-    out = np.zeros(SLOTS, np.uint16)
-    n = np.minimum(4095, _STEP * np.log2(top["n"].to_numpy().astype(np.float64) + 1)).astype(np.uint16)
-    np.maximum.at(out, top["key"].to_numpy().astype(np.int64) & (SLOTS - 1), n)
-    return out
+            held.append(chunk.slots())
+            n += len(held[-1])
+            if n > SLOTS // 4:
+                total += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+                held, n = [], 0
+        for slots in held:
+            np.add.at(total, slots, np.uint32(1))
+        for byte in range(4):
+            some = ((total >> np.uint32(8 * byte)) & np.uint32(255)).astype(np.uint8)
+            parts = np.flatnonzero(some.reshape(SLOT_PARTS, width).any(axis=1))
+            if len(parts):
+                values = pa.array([some[k * width : (k + 1) * width].tobytes() for k in parts.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), byte, np.int32)), values], names=["part", "byte", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # SLOT_PARTS at most
+        for batch in batches:
+            for part, byte, counts in zip(batch.column("part").to_pylist(), batch.column("byte").to_pylist(), batch.column("counts"), strict=True):
+                if part not in sums:
+                    sums[part] = np.zeros(width, np.uint64)
+                sums[part] += np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(8 * byte)
+        for part, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["part", "counts"])
+
+    counted = docs.select("text").mapInArrow(count, "part int, byte int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").toArrow()
+    n = np.zeros(SLOTS, np.uint64)
+    for part, counts in zip(counted["part"].to_pylist(), counted["counts"].to_pylist(), strict=True):
+        n[part * width : (part + 1) * width] = np.frombuffer(counts, np.uint64)
+    least = max(2, -(-int(n.sum()) // RANKED))
+    return np.where(n >= least, np.minimum(4095, _STEP * np.log2(n.astype(np.float64) + 1)), 0).astype(np.uint16)
 
 
 def rare_keys(docs: DataFrame, similarity: float) -> DataFrame:
@@ -476,7 +518,7 @@ def rare_keys(docs: DataFrame, similarity: float) -> DataFrame:
 
 def live_keys(keyed: DataFrame, similarity: float) -> DataFrame:
     """(bucket, hub, hash, low, middle, high): the rows of keyed that can have a link within their bucket, which is named by all of its such lines (near
-    copies share most keys, and buckets of the same lines are one), with its least hash."""
+    copies share most keys, and buckets of the same lines are one), with its least hash, or their own if they can't have a link with that line."""
 
     def marks(key: np.ndarray, sketch: list[np.ndarray]) -> np.ndarray:
         alive = np.zeros(len(key), bool)
@@ -507,12 +549,14 @@ def live_keys(keyed: DataFrame, similarity: float) -> DataFrame:
         def flush(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(columns[0]) < 2:
                 return
-            key, h = columns[:2]
-            once = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-            key = columns[0][once]
+            key = columns[0]
             shared = np.concatenate(([False], key[1:] == key[:-1]))
             shared[:-1] |= shared[1:]
-            key, *rest = columns = [c[once][shared] for c in columns]
+            columns = [c[shared] for c in columns]
+            order = np.lexsort((columns[1], columns[0]))  # by key they are already; Spark sorts by one number, without comparing rows
+            key, h = (c[order] for c in columns[:2])
+            order = order[np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))[: len(key)]]
+            key, *rest = columns = [c[order] for c in columns]
             if not len(key):
                 return
             alive = marks(key, rest[1:])
@@ -522,7 +566,9 @@ def live_keys(keyed: DataFrame, similarity: float) -> DataFrame:
                 mixed = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 members = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts).view(np.int64)
                 sizes = np.diff(np.concatenate((starts, [len(key)])))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(members, sizes), np.repeat(h[starts], sizes), h, *sketch)], names=["bucket", "hub", "hash", "low", "middle", "high"])
+                first = np.repeat(starts, sizes)
+                hub = np.where(_near(sketch, [x[first] for x in sketch], similarity), h[first], h)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(members, sizes), hub, h, *sketch)], names=["bucket", "hub", "hash", "low", "middle", "high"])
 
         for batch in batches:
             held = [np.concatenate((c, x.to_numpy())) for c, x in zip(held, batch.columns, strict=True)]
@@ -532,7 +578,7 @@ def live_keys(keyed: DataFrame, similarity: float) -> DataFrame:
                 held = [c[cut:] for c in held]
         yield from flush(held)
 
-    return keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(run, "bucket long, hub long, hash long, low long, middle long, high long").dropDuplicates(["bucket", "hash"])
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, hub long, hash long, low long, middle long, high long").dropDuplicates(["bucket", "hash"])
 
 
 def similar_stars(live: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -541,9 +587,10 @@ def similar_stars(live: DataFrame, texts: DataFrame, similarity: float) -> DataF
     both = pairs.join(texts, "hash").join(texts.select(F.col("hash").alias("hub"), F.col("words").alias("other")), "hub").select("hash", "hub", "words", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lru_cache(256)(_Words)  # a hub's rows often come together
         for batch in batches:
             one, other = (batch.column(c).to_pylist() for c in ("words", "other"))
-            near = pa.array([similar(x, y, similarity) for x, y in zip(one, other, strict=True)], pa.bool_())
+            near = pa.array([_Words(x).similar(words(y), similarity) for x, y in zip(one, other, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("hash").filter(near), batch.column("hub").filter(near)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")

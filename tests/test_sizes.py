@@ -61,6 +61,24 @@ def _one_chunk(texts):
     return chunk
 
 
+def test_keys_are_counted_in_all_documents(spark):
+    """Each document has 16 pairs of its own and three that 37 documents have, whatever part of the documents they stand in."""
+    docs = lines._keyed(spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(16)) + ("\nalpha beta gamma delta " + f"v{i}" if i < 37 else "")) for i in range(60)], "doc_id long, text string").repartition(5))
+    texts = pa.RecordBatch.from_pydict({"text": [r.text for r in docs.collect()]})
+    wanted = np.bincount(_one_chunk(texts).slots(), minlength=lines.SLOTS)
+    ranks = lines.rank_table(docs, lines.SIMILARITY)
+    assert sorted(wanted[wanted > 1].tolist()) == [37, 37, 37]
+    assert (np.round(np.exp2(ranks / lines._STEP) - 1) == np.where(wanted > 1, wanted, 0)).all()
+
+
+@pytest.mark.parametrize("n", [5, 300])
+def test_lines_are_compared_by_words_whatever_is_repeated(n):
+    one = ["a", "b"] * n
+    assert lines.similar(" ".join(one), " ".join(one[1:]), 0.8)
+    assert not lines.similar(" ".join(one), " ".join(["a"] * n + ["a"] * n), 0.8)
+    assert lines.similar(" ".join(one), " ".join(["x"] * (n * 2 // 5) + one[n * 2 // 5 :]), 0.8)
+
+
 def test_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
     monkeypatch.setattr(casework, "PAGES_A_TASK", 100)
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
