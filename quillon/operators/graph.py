@@ -51,8 +51,14 @@ def continuations(parts: DataFrame) -> DataFrame:
     return nxt.where(F.col("target").isNotNull())
 
 
+#: Edges that one task joins from both ends: edges of any number come in as many tasks as this asks for, so a task's memory doesn't grow with them.
+EDGES_A_TASK = 250_000
+
+
 def edges_of(edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document_id, other, kind): edges that touch each document from either end; a self-loop counts twice."""
+    """(document_id, other, kind): edges that touch each document from either end; a self-loop counts twice. The edges are counted first."""
     out = edges.select(F.col("source").alias("document_id"), F.col("target").alias("other"), F.lit("out").alias("kind"))
     into = edges.select(F.col("target").alias("document_id"), F.col("source").alias("other"), F.lit("in").alias("kind"))
-    return out.unionByName(into).join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    n = edges.count() // EDGES_A_TASK + 1
+    wanted = documents.select("document_id").repartition(n, "document_id").distinct()
+    return out.unionByName(into).repartition(n, "document_id").join(wanted, "document_id")  # a semi-join would be moved below the dealing

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lines
-from quillon.operators import evidence, research, retrieval, structure
+from quillon.operators import evidence, graph, research, retrieval, structure
 from quillon.plans import casework, passages  # noqa: F401
 from quillon.plans.catalog import QUERIES, SQL
 from quillon.sources import stores
@@ -85,6 +85,15 @@ def test_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
     assert casework.production_pages(spark, sf).rdd.getNumPartitions() == n // 100 + 1
 
 
+def test_edges_are_dealt_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 1_000)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert QUERIES["relationship_edges"](spark, sf).rdd.getNumPartitions() == n // 1_000 + 1
+    edges = spark.createDataFrame([(1, 2), (2, 2), (None, 1), (3, None), (1, 2)], "source long, target long")
+    found = graph.edges_of(edges, spark.createDataFrame([(2,), (2,), (None,), (1,)], "document_id long"))
+    assert sorted(map(str, found.collect())) == sorted(f"Row(document_id={d}, other={o}, kind='{k}')" for d, o, k in [(1, 2, "out"), (1, 2, "out"), (2, 2, "out"), (2, 1, "in"), (2, 1, "in"), (2, 2, "in"), (1, None, "in")])
+
+
 def peak_mb(run):
     tracemalloc.start()
     try:
