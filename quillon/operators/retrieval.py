@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import re
@@ -147,8 +146,8 @@ def tokens(content: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(text.STOP_WORDS))
 
 
-#: As many tokens' buckets a task remembers at most: some 250 bytes each, in every worker of an executor. Texts encoded at once.
-REMEMBERED, TEXTS = 500_000, 256
+#: As many tokens' buckets a task remembers before it starts anew: in every worker of an executor. Texts encoded at once.
+REMEMBERED, TEXTS = 200_000, 256
 _WORD = re.compile(rb"[a-z0-9]{2,}")
 
 
@@ -191,14 +190,24 @@ def encoded(content: bytes, bucket_of: Callable[[bytes], int]) -> dict[int, floa
 _STOPPED = [w.encode() for w in text.STOP_WORDS]
 
 
+class _Buckets(dict):
+    """Tokens' buckets, as they come up."""
+
+    def __init__(self, dimension: int) -> None:
+        self.dimension = dimension
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[token] = int.from_bytes(hashlib.sha256(token).digest(), "big") % self.dimension
+        return out
+
+
 def _encoder(dimension: int, others: list[str], lists: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: the vectors of rows with content beside others, some hundreds of rows at a time; with lists one row a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @functools.lru_cache(maxsize=REMEMBERED)
-        def bucket_of(token: bytes) -> int:
-            return int.from_bytes(hashlib.sha256(token).digest(), "big") % dimension
-
+        bucket_of = _Buckets(dimension).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(at, TEXTS)

@@ -1,5 +1,6 @@
 """What larger tables showed, on small ones."""
 
+import hashlib
 import shutil
 import tracemalloc
 from pathlib import Path
@@ -135,6 +136,14 @@ def test_sparse_search_deals_no_pairs(spark, monkeypatch, held, products, cells)
     assert "Aggregate" not in plan_of(found)
 
 
+def test_tokens_take_little_room_however_many_there_are():
+    rows = [pa.RecordBatch.from_pydict({"id": [at], "content": [" ".join(f"w{at}x{k}" for k in range(20_000)).encode()]}) for at in range(20)]
+    found = []
+    assert peak_mb(lambda: found.extend(b.num_rows for b in retrieval._encoder(100_000, ["id"], False)(iter(rows)))) < 60
+    buckets = retrieval._Buckets(1_000)
+    assert buckets[b"abc"] == buckets[b"abc"] == int(hashlib.sha256(b"abc").hexdigest(), 16) % 1_000
+
+
 def test_facts_of_one_set_of_words_are_compared_once():
     names, lists = ["alpha gamma"], {"alpha": np.array([0]), "gamma": np.array([0])}
     rows = pa.RecordBatch.from_pydict({"fact_id": list(range(20_000, 0, -1)), "words": ["alpha gamma delta", "beta", "alpha"] * 6_666 + ["gamma", "alpha gamma"]})
