@@ -462,8 +462,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[_C
 def rank_table(docs: DataFrame, similarity: float) -> np.ndarray:
     """The rank of each slot of keys: a logarithm of how many pairs of words of docs (text) fall on it, for slots of many; 0 is rare.
 
-    A task counts the slots of all its lines in one array and passes it on in SLOT_PARTS parts, a byte of the counts at a time; the driver gets one
-    array of SLOTS numbers, whatever the corpus.
+    A task counts the slots of all its lines in one array and passes it on in SLOT_PARTS parts, a byte of the counts at a time; the sums stay a table,
+    of which the driver gets the total and the ranked slots, RANKED at most, whatever the corpus.
     """
     width = SLOTS // SLOT_PARTS
 
@@ -492,14 +492,23 @@ def rank_table(docs: DataFrame, similarity: float) -> np.ndarray:
                     sums[part] = np.zeros(width, np.uint64)
                 sums[part] += np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(8 * byte)
         for part, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["part", "counts"])
-
-    counted = docs.select("text").mapInArrow(count, "part int, byte int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").toArrow()
-    n = np.zeros(SLOTS, np.uint64)
-    for part, counts in zip(counted["part"].to_pylist(), counted["counts"].to_pylist(), strict=True):
-        n[part * width : (part + 1) * width] = np.frombuffer(counts, np.uint64)
-    least = max(2, -(-int(n.sum()) // RANKED))
-    return np.where(n >= least, np.minimum(4095, _STEP * np.log2(n.astype(np.float64) + 1)), 0).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["part", "total", "counts"])
+
+    counted = materialize(docs.select("text").mapInArrow(count, "part int, byte int, counts binary").repartition("part").mapInArrow(add, "part int, total long, counts binary"), "slots")
+    least = max(2, -(-(counted.agg(F.sum("total")).first()[0] or 0) // RANKED))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                n = np.frombuffer(counts.as_buffer(), np.uint64)
+                slots = np.flatnonzero(n >= least)
+                ranks = np.minimum(4095, _STEP * np.log2(n[slots].astype(np.float64) + 1)).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array((part * width + slots).astype(np.int32)), pa.array(ranks)], names=["slot", "rank"])
+
+    ranked = counted.select("part", "counts").mapInArrow(often, "slot int, rank short").toArrow()
+    out = np.zeros(SLOTS, np.uint16)
+    out[ranked["slot"].to_numpy()] = ranked["rank"].to_numpy()
+    return out
 
 
 def rare_keys(docs: DataFrame, similarity: float) -> DataFrame:

@@ -113,6 +113,11 @@ def test_searches_hold_little_whatever_is_asked():
     assert peak_mb(lambda: list(research._nearest(by_store, 5)(iter([rows.append_column("store", pa.array(["a"] * 10_000))])))) < 200
 
 
+def test_the_driver_gets_ranked_slots_only(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma " + " ".join(f"w{i}x{k}" for k in range(9))) for i in range(40)], "doc_id long, text string")
+    assert peak_mb(lambda: lines.rank_table(docs, lines.SIMILARITY)) < 20
+
+
 @pytest.mark.parametrize(("held", "products", "cells"), [(4096, 1 << 20, 1 << 20), (4, 5, 16)])
 def test_sparse_search_deals_no_pairs(spark, monkeypatch, held, products, cells):
     monkeypatch.setattr(research, "HELD", held)
