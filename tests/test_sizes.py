@@ -95,6 +95,14 @@ def test_edges_are_dealt_by_their_number(spark, sf, monkeypatch):
     assert sorted(map(str, found.collect())) == sorted(f"Row(document_id={d}, other={o}, kind='{k}')" for d, o, k in [(1, 2, "out"), (1, 2, "out"), (2, 2, "out"), (2, 1, "in"), (2, 1, "in"), (2, 2, "in"), (1, None, "in")])
 
 
+def test_facts_of_an_exhibit_come_together(spark, sf, monkeypatch):
+    monkeypatch.setattr(casework, "FACTS_A_TASK", 300, raising=False)
+    found = QUERIES["exhibit_fact_links"](spark, sf).groupBy(F.spark_partition_id().alias("task")).agg(F.collect_set("exhibit_id").alias("exhibits")).collect()
+    parts = [set(r.exhibits) for r in found]
+    assert len(parts) > 1
+    assert sum(map(len, parts)) <= len(set().union(*parts)) + len(parts) - 1
+
+
 def peak_mb(run):
     tracemalloc.start()
     try:
