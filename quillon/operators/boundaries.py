@@ -44,10 +44,11 @@ def density_changes(features: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def merge_overlaps(intervals: DataFrame) -> DataFrame:
-    """(doc_id, start, end): the union of overlapping or touching intervals."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    """(doc_id, start, end): the union of overlapping or touching intervals; one without a start belongs to the last. Both windows have one order,
+    so that Spark sorts once: a second sort might turn equal intervals round and so part or double spans."""
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("opens", F.coalesce((F.col("start") > reach + 1).cast("int"), F.lit(1)))
+    marked = intervals.withColumn("opens", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
     grouped = marked.withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy("doc_id", "group").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
 
