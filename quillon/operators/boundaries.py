@@ -53,12 +53,16 @@ def merge_overlaps(intervals: DataFrame) -> DataFrame:
     return grouped.groupBy("doc_id", "group").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
 
 
-def cover(segments: DataFrame, totals: DataFrame) -> DataFrame:
-    """segments (doc_id, start, end; disjoint) and the fragments between, before and after them, up to totals (doc_id, pages)."""
-    order = Window.partitionBy("doc_id").orderBy("start")
-    joined = totals.join(segments, "doc_id", "left")
-    whole = joined.where(F.col("start").isNull()).select("doc_id", F.lit(0).alias("start"), (F.col("pages") - 1).cast("int").alias("end"), F.lit("fragment").alias("kind"))
-    known = joined.where(F.col("start").isNotNull()).select("doc_id", "pages", "start", "end", F.lag("end", 1, -1).over(order).alias("before"), F.lead("start").over(order).alias("next"))
+def cover(segments: DataFrame, totals: DataFrame | int) -> DataFrame:
+    """segments (doc_id, start, end; disjoint) and the fragments between, before and after them, up to totals (doc_id, pages), or a number of pages
+    that every document of segments has."""
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("start"))
+    if isinstance(totals, int):
+        joined = segments.select("doc_id", F.lit(totals).alias("pages"), "start", "end", F.lit(True).alias("found"))
+    else:
+        joined = totals.join(segments.withColumn("found", F.lit(True)), "doc_id", "left")
+    whole = joined.where(F.col("found").isNull()).select("doc_id", F.lit(0).alias("start"), (F.col("pages") - 1).cast("int").alias("end"), F.lit("fragment").alias("kind"))
+    known = joined.where(F.col("found")).select("doc_id", "pages", "start", "end", F.lag("end", 1, -1).over(order).alias("before"), F.lead("start").over(order).alias("next"))
     gaps = known.where("start > before + 1").select("doc_id", (F.col("before") + 1).cast("int").alias("start"), (F.col("start") - 1).cast("int").alias("end"), F.lit("fragment").alias("kind"))
     tail = known.where("next IS NULL AND end < pages - 1").select("doc_id", (F.col("end") + 1).cast("int").alias("start"), (F.col("pages") - 1).cast("int").alias("end"), F.lit("fragment").alias("kind"))
     own = known.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit("document").alias("kind"))

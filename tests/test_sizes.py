@@ -119,6 +119,12 @@ def test_odd_spans_merge_as_in_sql(spark, tmp_path):
     assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in got.collect())
 
 
+def test_odd_spans_are_covered_as_in_sql(spark, tmp_path):
+    wanted = odd_lines(spark, tmp_path).execute(SQL["gap_fill"]).fetchall()
+    got = QUERIES["gap_fill"](spark, str(tmp_path)).select("doc_id", "start", "end", "kind")
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def peak_mb(run):
     tracemalloc.start()
     try:
