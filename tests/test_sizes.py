@@ -125,6 +125,32 @@ def test_odd_spans_are_covered_as_in_sql(spark, tmp_path):
     assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in got.collect())
 
 
+def exhibits(spark, folder, facts, rows):
+    spark.createDataFrame([(k,) for k in facts], "o_orderkey long").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k,) for k in rows], "s_suppkey long").write.parquet(f"{folder}/supplier.parquet")
+    return QUERIES["exhibit_fact_links"](spark, str(folder)).select("fact_id", "exhibit_id", "exhibit_row")
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_exhibits_of_any_size_meet_all_their_facts(spark, tmp_path, monkeypatch, broadcast):
+    """Keys that come twice, below zero or not at all; exhibits with more rows, and with more facts, than are taken at once, and without any."""
+    monkeypatch.setattr(casework, "EXHIBIT_ROWS", broadcast)
+    monkeypatch.setattr(casework, "ROWS_TOGETHER", 7, raising=False)
+    monkeypatch.setattr(casework, "FACTS_POWER", 3, raising=False)
+    got = exhibits(spark, tmp_path, [*range(0, 1600, 40), *range(30), 5, 5, -3, -43, None, None], [*range(0, 800, 40), *range(20, 40), 25, 25, -3, None])
+    connection = duckdb.connect()
+    for name in ("orders", "supplier"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(connection.execute(SQL["exhibit_fact_links"]).fetchall())
+
+
+def test_links_of_large_exhibits_take_little_room(spark, tmp_path):
+    exhibits(spark, tmp_path, range(7, 4_000, 40), range(7, 360_000, 40)).write.parquet(f"{tmp_path}/links")
+    written = sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/links").count() == 900_000
+    assert written < 0.5 * 900_000
+
+
 def peak_mb(run):
     tracemalloc.start()
     try:
